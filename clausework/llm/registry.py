@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from clausework.llm.packing import op9_packing
 from clausework.llm.simhash import op5_simhash
 
 
 def queries() -> dict:
     return {
         "op5_simhash": op5_simhash,
+        "op9_packing": op9_packing,
     }
 
 
