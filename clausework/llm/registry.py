@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from clausework.llm.chat import OP6_SQL, op6_chat_formatting
 from clausework.llm.packing import op9_packing
 from clausework.llm.simhash import op5_simhash
+from clausework.llm.urls import OP10_SQL, op10_url_filters
 
 
 def queries() -> dict:
     return {
         "op5_simhash": op5_simhash,
+        "op6_chat_formatting": op6_chat_formatting,
         "op9_packing": op9_packing,
+        "op10_url_filters": op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_chat_formatting": OP6_SQL,
+        "op10_url_filters": OP10_SQL,
+    }
