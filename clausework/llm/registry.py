@@ -5,11 +5,13 @@ from __future__ import annotations
 from clausework.llm.chat import OP6_SQL, op6_chat_formatting
 from clausework.llm.packing import op9_packing
 from clausework.llm.simhash import op5_simhash
+from clausework.llm.topk import OP4_SQL, op4_topk
 from clausework.llm.urls import OP10_SQL, op10_url_filters
 
 
 def queries() -> dict:
     return {
+        "op4_topk": op4_topk,
         "op5_simhash": op5_simhash,
         "op6_chat_formatting": op6_chat_formatting,
         "op9_packing": op9_packing,
@@ -19,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_topk": OP4_SQL,
         "op6_chat_formatting": OP6_SQL,
         "op10_url_filters": OP10_SQL,
     }
