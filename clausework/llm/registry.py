@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from clausework.llm.chat import OP6_SQL, op6_chat_formatting
+from clausework.llm.language import op2_language
 from clausework.llm.packing import op9_packing
 from clausework.llm.simhash import op5_simhash
 from clausework.llm.topk import OP4_SQL, op4_topk
@@ -11,6 +12,7 @@ from clausework.llm.urls import OP10_SQL, op10_url_filters
 
 def queries() -> dict:
     return {
+        "op2_language": op2_language,
         "op4_topk": op4_topk,
         "op5_simhash": op5_simhash,
         "op6_chat_formatting": op6_chat_formatting,
