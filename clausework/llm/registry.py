@@ -7,6 +7,7 @@ from clausework.llm.language import op2_language
 from clausework.llm.packing import op9_packing
 from clausework.llm.simhash import op5_simhash
 from clausework.llm.topk import OP4_SQL, op4_topk
+from clausework.llm.toxicity import op7_toxicity
 from clausework.llm.urls import OP10_SQL, op10_url_filters
 
 
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op4_topk": op4_topk,
         "op5_simhash": op5_simhash,
         "op6_chat_formatting": op6_chat_formatting,
+        "op7_toxicity": op7_toxicity,
         "op9_packing": op9_packing,
         "op10_url_filters": op10_url_filters,
     }
