@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import insort
 from collections.abc import Iterator
 
@@ -17,17 +19,34 @@ LIMIT = 2048
 END_ID = 1
 #: Words whose ids a worker keeps; when full, the cache starts anew.
 CACHE = 400_000
+#: Letters at the start of a word, and below which character they count as Latin.
+FIRST_LETTERS = re.compile(r"[^\W\d_]*")
+LATIN = 0x250
 #: Pieces of one (length, bucket) group about; a hot length is spread over many.
 BUCKET = 1 << 17
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write the UTF-8 bytes of the characters below LATIN.
+
+    Printable bytes stand for themselves; the others, in order, for the characters from 256 on.
+    """
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in plain]
+    letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(LATIN)}
+
+
 class Words(dict):
     """Ids of blank-separated words as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins letters across it, so the ids
-    of a text are those of its words, one after the other.
+    The tokenizer drops white space and never joins letters across it, nor
+    letters with what isn't one, so the ids of a text are those of its words,
+    and those of a word are those of its first letters and of the rest. Latin
+    letters go to the vocabulary's merges directly, all else through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str):
@@ -35,24 +54,31 @@ class Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[str]) -> None:
-        """Encode new words together; each token belongs to the word that its offset lies in."""
-        new = [w for w in words if w not in self]
-        if not new:
-            return
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(words)
-        starts = np.cumsum([0, *(len(w) + 1 for w in new)])
-        got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids = np.array(got.ids, dtype="<u4")
-        at = np.searchsorted(starts, np.array([x for x, _ in got.offsets], np.int64), side="right") - 1
-        ends = np.searchsorted(at, np.arange(len(new)), side="right") * 4
-        raw, last = ids.tobytes(), 0
-        for w, end in zip(new, ends.tolist()):
-            self[w] = raw[last:end]
-            last = end
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.stems: dict[str, bytes] = {"": b""}
+        self.rests: dict[str, bytes] = {"": b""}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            for x in (self, self.stems, self.rests):
+                x.clear()
+        stem = word[: FIRST_LETTERS.match(word).end()]
+        small = stem.lower()
+        if not (small.isalpha() and stem.isalpha() and ord(max(small)) < LATIN):
+            stem = small = ""
+        rest, stem = word[len(stem) :], small
+        head = self.stems.get(stem)
+        if head is None:
+            head = self.stems[stem] = array("I", [t.id for t in self.merge(stem.translate(self.letters))]).tobytes() if stem else b""
+        tail = self.rests.get(rest)
+        if tail is None:
+            tail = self.rests[rest] = self.encode(rest) if rest else b""
+        self[word] = head + tail
+        return head + tail
 
     def ids(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))
@@ -67,16 +93,9 @@ def tokenized(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text"
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                split = [(t or "").replace("\n", " ").split(" ") for t in b.column(1).to_pylist()]
-                need: set[str] = set().union(*split)
-                known.learn(need)
-                if not need <= known.keys():  # more words than the cache holds
-                    known.clear()
-                    for w in need:
-                        known[w] = np.array(known.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
                 rows: list[tuple] = []
-                for doc_id, words in zip(b.column(0).to_pylist(), split):
-                    raw = known.ids(words) + end
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    raw = known.ids((text or "").replace("\n", " ").split(" ")) + end
                     n = len(raw) // 4
                     for start in range(0, n, limit):
                         part = raw[4 * start : 4 * (start + limit)]
