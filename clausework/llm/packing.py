@@ -67,8 +67,9 @@ class Words(dict):
             for x in (self, self.stems, self.rests):
                 x.clear()
         stem = word[: FIRST_LETTERS.match(word).end()]
-        small = stem.lower()
-        if not (small.isalpha() and stem.isalpha() and ord(max(small)) < LATIN):
+        small, after = stem.lower(), word[len(stem) : len(stem) + 1]
+        # an accent that follows would be joined with the last letter
+        if not (after.isascii() and small.isalpha() and stem.isalpha() and ord(max(small)) < LATIN):
             stem = small = ""
         rest, stem = word[len(stem) :], small
         head = self.stems.get(stem)
