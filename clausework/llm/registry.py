@@ -6,6 +6,7 @@ from clausework.llm.chat import OP6_SQL, op6_chat_formatting
 from clausework.llm.language import op2_language
 from clausework.llm.packing import op9_packing
 from clausework.llm.simhash import op5_simhash
+from clausework.llm.substrings import op1_substrings
 from clausework.llm.topk import OP4_SQL, op4_topk
 from clausework.llm.toxicity import op7_toxicity
 from clausework.llm.urls import OP10_SQL, op10_url_filters
@@ -13,6 +14,7 @@ from clausework.llm.urls import OP10_SQL, op10_url_filters
 
 def queries() -> dict:
     return {
+        "op1_substrings": op1_substrings,
         "op2_language": op2_language,
         "op4_topk": op4_topk,
         "op5_simhash": op5_simhash,
