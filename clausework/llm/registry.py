@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from clausework.llm.chat import OP6_SQL, op6_chat_formatting
+from clausework.llm.decontaminate import op3_decontaminate
 from clausework.llm.language import op2_language
 from clausework.llm.lines import op8_lines
 from clausework.llm.packing import op9_packing
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_substrings": op1_substrings,
         "op2_language": op2_language,
+        "op3_decontaminate": op3_decontaminate,
         "op4_topk": op4_topk,
         "op5_simhash": op5_simhash,
         "op6_chat_formatting": op6_chat_formatting,
