@@ -366,12 +366,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = N
     return used.mapInArrow(run, f"{schema}, item_id long, start_word long, words int, distance int")
 
 
-def drop_leaky(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose text has a leak; all columns stay."""
-    names = docs.columns
-    keyed = docs.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64(F.lit(1), "text", "doc_id")})
-    leaky = find_leaks(keyed, benchmark, ["_k1", "_k2"]).select("_k1", "_k2").distinct()
-    return keyed.join(leaky, ["_k1", "_k2"], "left_anti").select(*names)
+def drop_leaky(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The rows of docs, all columns, in whose text find_leaks() finds nothing."""
+    shared = docs.sparkSession.sparkContext.broadcast(build(items_of(benchmark), similarity, recall))  # bounded by MOST_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(shared.value, similarity)
+        for b in batches:
+            for lo in range(0, b.num_rows, TEXTS):
+                part = b.slice(lo, TEXTS)
+                clean = [True] * part.num_rows
+                for k, *_ in finder.leaks(part.column(part.schema.get_field_index("text")).to_pylist()):
+                    clean[k] = False
+                yield part.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,6 +267,20 @@ def toxicity(docs: DataFrame, model: Model, keys: list[str] | None = None) -> Da
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns, that toxicity() doesn't predict to be toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_VOTERS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        voters = Voters(m.lexicon)
+        for b in batches:
+            clean = [score_of(m, *voters.features(t.as_py())) < THRESHOLD for t in b.column(b.schema.get_field_index("text"))]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     """A model of docs and the labels beside them, learned from rows that aren't held out."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
