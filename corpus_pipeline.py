@@ -1 +1,69 @@
-STAGES, ORACLE_SQL, run = [], None, None
+"""Documents to packed training sequences: filter, deduplicate, decontaminate, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
+written as Parquet and read again as the docs of the next one. All stages but
+the last return rows with the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from clausework.llm import decontaminate, lines, packing, simhash
+from clausework.llm import toxicity as toxic
+from clausework.llm.common import read, shared_dir
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the rows that the classifier rejects.
+
+    The classifier learns from docs and the labels in sf_dir that aren't held out.
+    """
+    return toxic.keep_clean(docs, toxic.fitted(spark, docs, sf_dir))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs, all rows, without multi-line chunks that an earlier place has."""
+    return lines.drop_repeated_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of docs for each group of near duplicates."""
+    return simhash.drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the rows that hold an item of the benchmark in sf_dir."""
+    return decontaminate.drop_leaky(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of docs in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packed),
+]
+
+#: The stages hash, learn and search; SQL cannot express them. tests/llm compares each with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over the documents in sf_dir; each stage's rows are kept in the shared folder."""
+    docs = read(spark, sf_dir, "documents")
+    place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        out = f"{place}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return docs
