@@ -1,11 +1,386 @@
-"""The queries of this engine and their DuckDB counterparts."""
+"""The queries of this engine over the driver's tables, and their DuckDB counterparts.
+
+documents stand for chunks (doc_id is chunk_ord and chunk_id), benchmark for
+items, embeddings for vectors, conversations for pages with headers. Scores are
+ranked at six digits and shown at four.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from clausework.functions import patterns as P
+from clausework.functions import text as X
+from clausework.operators import bm25, checklist, clean, outline, quality, ranking, serve
+from clausework.operators import tables as T
+
+SEMANTIC_ITEMS = 20
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_ord"), F.col("doc_id").alias("chunk_id"), "text")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").select("item_id", "text")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_ord"), F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+def _keyword(spark: SparkSession, chunks: DataFrame, items: DataFrame) -> DataFrame:
+    tokenized = bm25.corpus(chunks)
+    return ranking.ranked(bm25.keyword_scores(items, tokenized, bm25.vocabulary(tokenized), bm25.fixed_gate(spark)))
+
+
+def _shown(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("item_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.round("score", 4).alias("score"), *more)
+
+
+def keyword_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_keyword(spark, _chunks(spark, sf_dir), _items(spark, sf_dir)), "above_floor")
+
+
+def keyword_ranking_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenized = bm25.corpus(_chunks(spark, sf_dir))
+    scored = bm25.keyword_scores(_items(spark, sf_dir), tokenized, bm25.vocabulary(tokenized), bm25.fixed_gate(spark))
+    return _shown(ranking.ranked_in_parts(scored), "above_floor")
+
+
+def token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.postings(bm25.corpus(_chunks(spark, sf_dir))).select("chunk_ord", "term", "tf", "dl")
+
+
+def rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bm25.rare_terms(bm25.vocabulary(bm25.corpus(_chunks(spark, sf_dir))))
+    return found.select("term", "df", F.round("idf", 4).alias("idf"))
+
+
+def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenized = bm25.corpus(_chunks(spark, sf_dir))
+    g = bm25.derive_gate(tokenized, bm25.vocabulary(tokenized))
+    digits = {c: F.round(c, 4) for c in ("high_idf_threshold", "min_score", "single_term_contribution_min")}
+    return g.withColumns(digits)
+
+
+def gate_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenized = bm25.corpus(_chunks(spark, sf_dir))
+    g = quality.gate_grounding(tokenized, bm25.vocabulary(tokenized))
+    picks = [F.round(F.col("percentiles")[k], 4).alias(f"p{p}") for k, p in enumerate(quality.PERCENTILES)]
+    return g.select("rare_vocab_size", "vocab_size", F.round("single_term_min", 4).alias("single_term_min"), F.round("below_5", 6).alias("below_5"), *picks)
+
+
+def _keyword_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.entries(_keyword(spark, _chunks(spark, sf_dir), _items(spark, sf_dir)), "keyword", F.lit("B"))
+
+
+def zero_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.zero_pass(_keyword_entries(spark, sf_dir))
+
+
+def full_list_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _keyword_entries(spark, sf_dir)
+    n = _read(spark, sf_dir, "documents").agg(F.count("*").alias("want"))
+    return e.groupBy("item_id").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"), F.max("rank").alias("high")).crossJoin(F.broadcast(n))
+
+
+def list_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _read(spark, sf_dir, "documents").count()
+    return quality.list_faults(_keyword_entries(spark, sf_dir), n)
+
+
+def cosine_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    items = v.where(F.col("chunk_id") < SEMANTIC_ITEMS).select(F.col("chunk_id").alias("item_id"), "embedding")
+    return _shown(ranking.ranked(ranking.semantic_scores(items, v)))
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    v = _vectors(spark, sf_dir)
+    chunks = _chunks(spark, sf_dir).join(v.select("chunk_ord", "embedding"), "chunk_ord")
+    items = _items(spark, sf_dir).join(v.select(F.col("chunk_ord").alias("item_id"), "embedding"), "item_id")
+    k = _keyword(spark, chunks, items)
+    s = ranking.ranked(ranking.semantic_scores(items, chunks))
+    return k, s, ranking.ranked(ranking.fuse(k, s), digits=12)
+
+
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir)[2].select("item_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def hydrate_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _keyword_entries(spark, sf_dir).withColumnRenamed("item_id", "item")
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source", "n_chars")
+    return serve.hydrate(entries, docs, ("lang", "source", "n_chars")).select(F.col("item").alias("item_id"), "chunk_id", "rank", "lang", "source", "n_chars")
+
+
+def slider_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = serve.eligible(_keyword_entries(spark, sf_dir))
+    return serve.slider_bounds(pool, ["item_id"]).select("item_id", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), "disabled")
+
+
+def default_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serve.default_floor(_keyword_entries(spark, sf_dir), ["item_id"]).select("item_id", F.round("floor", 3).alias("floor"))
+
+
+def shown_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = serve.eligible(_keyword_entries(spark, sf_dir))
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_ord"), "quality")
+    return serve.shown(pool, 5.0, labels, ["chunk_id"]).select("item_id", "chunk_id", "quality", "join_missing")
+
+
+def segment_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 1).alias("initial"))
+    # a user's turn stands for a page with a header
+    heads = turns.where("role = 'user'").select("conv_id", "turn", F.col("role").alias("doc_id"), F.col("initial").alias("doc_name"))
+    s = clean.segment(turns.select("conv_id", "turn"), heads, "conv_id", "turn")
+    return s.select("conv_id", "turn", "is_start", "subdoc_idx", "cur_doc_id", "cur_doc_name")
+
+
+def stitch_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem")
+    box = F.array(F.lit(10.0), F.col("l_linenumber") * 20.0, F.col("l_quantity") + 100, F.lit(700.0))
+    raw = li.select(
+        F.col("l_orderkey").cast("string").alias("source_pdf"), F.col("l_linenumber").alias("table_ord"), F.col("l_linenumber").alias("page"), box.alias("bbox"),
+        F.array(F.array(F.col("l_returnflag"), F.col("l_linestatus"))).alias("rows"), F.lit(None).cast("array<array<array<double>>>").alias("cell_bboxes"), F.lit(2).alias("ncols"),
+        (F.col("l_returnflag") == "R").alias("content_below"), (F.col("l_quantity") * 4).alias("gap_to_bottom"), "l_partkey", "l_suppkey",
+    )
+    raw = raw.withColumn("table_ord", F.row_number().over(Window.partitionBy("source_pdf").orderBy("page", "l_partkey", "l_suppkey")))
+    return T.stitch(raw).select("source_pdf", F.col("stitch").cast("int").alias("stitch"), F.col("pages")[0].alias("page_start"), F.element_at("pages", -1).alias("page_end"), F.size("rows").alias("n_rows"))
+
+
+def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_extendedprice") / 1000).alias("y0"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    far = F.coalesce(F.col("y0") - F.lag("y0").over(order) > P.PARAGRAPH_GAP, F.lit(False)).cast("int")
+    return li.withColumn("far", far).withColumn("para", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("l_orderkey").agg((F.max("para") + 1).alias("n_paragraphs"))
+
+
+def dedup_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("clause_no"))
+    return outline.numbered_again(docs, ["lang"], "clause_no", ["doc_id"])
+
+
+def column_gap_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("checklist"), F.col("p_retailprice").alias("x0"))
+    g = checklist.column_gap(parts, "checklist", "x0")
+    return g.select("checklist", "n", F.round("gap", 4).alias("gap"), F.round("threshold", 4).alias("threshold"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+
+
+def heading_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "documents").select("doc_id", F.concat((F.col("doc_id") % 40).cast("string"), F.when(F.col("doc_id") % 3 == 0, ". ").otherwise(" "), F.substring_index("text", "\n", 1)).alias("text"))
+    return pages.withColumn("s", X.heading_shape(F.col("text"))).select("doc_id", "s.clause_no", "s.clause_title", F.col("s").isNotNull().alias("numbered"))
+
+
+def footer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line") % 3 == 2, F.format_string("Page %d of 9", F.col("line") + 1)).otherwise(F.col("text")))
+    y1 = 800.0 - (F.col("doc_id") % 200)
+    return texts.where(~X.is_footer(F.col("text"), y1, F.lit(800.0))).groupBy("doc_id").agg(F.count("*").alias("kept"))
+
+
+def parenthetical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.when(F.col("line") % 2 == 0, F.concat(F.lit("("), F.col("text"), F.lit(")"))).otherwise(F.col("text"))
+    found = _lines(spark, sf_dir).where(X.is_parenthetical(turned))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text") % 7
+    kind = F.when(n == 0, "parenthetical").when(n == 1, "unnumbered_heading").when(n == 2, "numbered").when(n == 3, "table").otherwise("body")
+    return _lines(spark, sf_dir).select("doc_id", "line", kind.alias("kind"))
+
+
+def next_kind_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = Window.partitionBy("doc_id").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    ahead = F.first(F.when(F.col("kind") != "parenthetical", F.col("kind")), ignorenulls=True).over(after)
+    return _kinds(spark, sf_dir).withColumn("zero_body", F.coalesce(~ahead.isin("body", "table"), F.lit(True)))
+
+
+def _nation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _read(spark, sf_dir, "nation")
+    cell = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))
+    row = F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), cell, F.when(F.col("n_regionkey") < 2, F.lit("x"))).alias("r"))
+    return n.groupBy("n_regionkey").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["r"]).alias("rows"))
+
+
+def table_serialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nation_rows(spark, sf_dir).select("n_regionkey", F.posexplode(T.serialize(F.col("rows"))).alias("line", "text"))
+
+
+def empty_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _nation_rows(spark, sf_dir).withColumn("v", T.verdict(F.col("rows"), F.lit(3)))
+    return v.select("n_regionkey", "v.verdict", "v.reason")
+
+
+def uniqueness_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.duplicates(_read(spark, sf_dir, "documents").select(F.md5("text").alias("text_md5")), "text_md5")
+
+
+def key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.unmatched(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "doc_id")
+
+
+def _document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as rows of one-page subdocuments; short lines are bold, every fourth is numbered."""
+    r = _lines(spark, sf_dir).where(X.strip(F.col("text")) != "")
+    text = F.when(F.col("line") % 4 == 1, F.concat(F.format_string("%d.%d ", (F.col("line") / 8).cast("int") + 1, F.col("line") % 8), F.col("text"))).otherwise(F.col("text"))
+    return r.select(
+        F.col("doc_id").cast("string").alias("source_pdf"), F.lit(0).alias("subdoc_idx"), F.col("line").alias("row_ord"), X.strip(text).alias("text"), (F.length("text") < 160).alias("all_bold"),
+        (F.col("line") / 20 + 1).cast("int").alias("page"), F.concat(F.lit("b"), (F.col("line") / 2).cast("int").cast("string")).alias("block_id"), (F.col("line") % 20 * 30.0).alias("y0"), F.lit(1).alias("n_lines"),
+    )
+
+
+def _document_outline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _document_rows(spark, sf_dir)
+    subdocs = rows.groupBy("source_pdf", "subdoc_idx").agg(F.concat(F.lit("D"), F.first("source_pdf")).alias("doc_id"), F.lit("document").alias("doc_name"))
+    none = spark.createDataFrame([], "source_pdf string, subdoc_idx int, table_id string, page_start int, page_end int, rows array<array<string>>, bbox_by_page map<int,array<double>>")
+    return outline.outlines(rows, none, subdocs), subdocs
+
+
+def chunk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded, subdocs = _document_outline(spark, sf_dir)
+    c = outline.chunks_table(folded, subdocs)
+    return c.select("chunk_id", "clause_no", F.size("ancestor_path").alias("depth"), F.size("lead_lines").alias("leads"), F.length("text").alias("chars"), "page_start", "page_end")
+
+
+def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.coverage(outline.events_table(_document_outline(spark, sf_dir)[0])).select("source_pdf", "total_raw_lines", (F.col("bucket_a") + F.col("bucket_b") + F.col("bucket_d")).alias("placed"), "unaccounted")
+
+
+def checklist_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of one checklist for each priority: headings, items and wrapped text by their place."""
+    o = _read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")).alias("i"))
+    body = F.col("i") % 4 == 0
+    no = F.when(F.col("i") % 12 == 1, F.format_string("%d Heading", (F.col("i") / 12).cast("int") + 1)).otherwise(F.format_string("%d.%d Item of order %d", (F.col("i") / 12).cast("int") + 1, F.col("i") % 12, "o_orderkey"))
+    text = F.when(body & (F.col("i") > 4), F.format_string("2 wrapped words of %d", "o_orderkey")).when(body, F.lit("12 months")).otherwise(no)
+    rows = o.select(
+        F.col("o_orderpriority").alias("checklist"), F.col("i").alias("row_ord"), (F.col("i") / 40 + 1).cast("int").alias("page"), (F.col("i") % 40 * 12.0).alias("y0"), F.when(body, 120.0).otherwise(40.0).alias("x0"),
+        (F.col("i") % 12 == 1).alias("bold"), text.alias("text"),
+    )
+    return checklist.items(rows).select("checklist", "item_ord", "item_id", F.size("ancestor_path").alias("depth"), "text", "page_start", "page_end")
+
+
+_QUERIES = (
+    keyword_ranking, keyword_ranking_parts, token_store, rare_terms, gate, gate_grounding, zero_pass, full_list_check, list_faults, cosine_ranking, rrf_fusion, hydrate_mapping, slider_pool,
+    default_floor, shown_candidates, segment_carry_forward, stitch_islands, paragraph_split, dedup_suffix, column_gap_threshold, heading_shape, footer_filter, parenthetical, next_kind_lookahead,
+    table_serialise, empty_verdict, uniqueness_check, key_check, chunk_tree, line_coverage, checklist_items,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+# --- DuckDB ---------------------------------------------------------------
+
+_K = f"{P.K1}::DOUBLE"
+_PART = f"idf * (tf * ({_K} + 1)) / (tf + {_K} * (1 - {P.B}::DOUBLE + {P.B}::DOUBLE * dl / avgdl))"
+
+
+def _corpus_sql(chunks: str = "SELECT doc_id AS chunk_ord, text FROM documents") -> str:
+    return f"""
+c0 AS ({chunks}),
+c AS (SELECT chunk_ord, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS tokens FROM c0),
+size AS (SELECT count(*) AS n_chunks, avg(len(tokens))::DOUBLE AS avgdl FROM c),
+post AS (SELECT chunk_ord, dl, term, count(*) AS tf FROM (SELECT chunk_ord, len(tokens) AS dl, unnest(tokens) AS term FROM c) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+raw AS (SELECT term, df, n_chunks, avgdl, ln(n_chunks - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, size),
+vocab AS (SELECT term, df, n_chunks, avgdl, CASE WHEN raw < 0 THEN {P.EPSILON}::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+
+
+def _keyword_sql(items: str = "SELECT item_id, text FROM benchmark") -> str:
+    return f"""
+it AS ({items}),
+q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM it) GROUP BY ALL),
+sparse AS (SELECT item_id, chunk_ord, sum(qf * {_PART}) AS score, sum((idf >= {P.HIGH_IDF})::INT) AS rare
+  FROM q JOIN post USING (term) JOIN vocab USING (term) GROUP BY ALL),
+dense AS (SELECT i.item_id, c.chunk_ord, coalesce(score, 0) AS score, coalesce(rare, 0) AS rare FROM it i CROSS JOIN c LEFT JOIN sparse s ON s.item_id = i.item_id AND s.chunk_ord = c.chunk_ord),
+kw AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, chunk_ord)::INT AS rank, rare >= {P.MIN_HIGH_IDF_TERMS} AND score >= {P.MIN_SCORE} AS above_floor FROM dense)"""
+
+
+_ALL = f"WITH {_corpus_sql()}, {_keyword_sql()}"
+_COSINE = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_LINES = "lines AS (SELECT doc_id, unnest(generate_series(0, len(p) - 1))::INT AS line, unnest(p) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))"
+_FOOTER = P.FOOTER.replace("'", "''")
+_NATION = """t AS (SELECT n_regionkey, list([n_nationkey::VARCHAR, CASE WHEN n_nationkey % 2 = 0 THEN n_name END, CASE WHEN n_regionkey < 2 THEN 'x' END] ORDER BY n_nationkey) AS rows FROM nation GROUP BY ALL)"""
+_BLANK = "coalesce(trim({}), '') = ''"
+_RANKING = "SELECT item_id, chunk_ord AS chunk_id, rank, round(score, 4) AS score, above_floor FROM kw"
 
-def queries() -> dict:
-    return {}
+_SQL = {
+    "keyword_ranking": f"{_ALL} {_RANKING}",
+    "keyword_ranking_parts": f"{_ALL} {_RANKING}",
+    "token_store": f"WITH {_corpus_sql()} SELECT chunk_ord, term, tf, dl::INT AS dl FROM post",
+    "rare_terms": f"WITH {_corpus_sql()} SELECT term, df, round(idf, 4) AS idf FROM vocab WHERE idf >= {P.HIGH_IDF}",
+    "gate": f"""WITH {_corpus_sql()},
+t AS (SELECT ln(n_chunks - {P.RARE_DF} + 0.5::DOUBLE) - ln({P.RARE_DF} + 0.5::DOUBLE) AS exact FROM size),
+s AS (SELECT {_PART} AS c FROM post JOIN vocab USING (term), t WHERE idf >= exact)
+SELECT round((SELECT exact FROM t), 4) AS high_idf_threshold, {P.MIN_HIGH_IDF_TERMS} AS min_high_idf_terms,
+  round(coalesce((SELECT quantile_cont(c, {P.MIN_SCORE_PERCENTILE}) FROM s), 0), 4) AS min_score, n_chunks,
+  (SELECT count(*) FROM vocab, t WHERE idf >= exact) AS rare_vocab_size, (SELECT count(*) FROM vocab) AS vocab_size,
+  round((SELECT min(c) FROM s), 4) AS single_term_contribution_min, (SELECT count(*) FROM s) AS single_term_contribution_n FROM size""",
+    "gate_grounding": f"""WITH {_corpus_sql()}, s AS (SELECT {_PART} AS c FROM post JOIN vocab USING (term) WHERE idf >= {P.HIGH_IDF})
+SELECT (SELECT count(*) FROM vocab WHERE idf >= {P.HIGH_IDF}) AS rare_vocab_size, (SELECT count(*) FROM vocab) AS vocab_size, round(min(c), 4) AS single_term_min,
+  round(avg((c < 5.0)::INT), 6) AS below_5, {', '.join(f'round(quantile_cont(c, {p / 100}), 4) AS p{p}' for p in quality.PERCENTILES)} FROM s""",
+    "zero_pass": f"{_ALL}, a AS (SELECT item_id, bool_or(above_floor) AS x FROM kw GROUP BY item_id) SELECT 'B' AS checklist, count(*) AS n_items, count(*) FILTER (NOT x) AS zero_pass FROM a",
+    "full_list_check": "SELECT item_id, (SELECT count(*) FROM documents) AS n, (SELECT count(DISTINCT doc_id) FROM documents) AS ids, (SELECT count(*) FROM documents)::INT AS high, (SELECT count(*) FROM documents) AS want FROM benchmark",
+    "list_faults": "SELECT ''::VARCHAR AS checklist, 0::BIGINT AS item_id, ''::VARCHAR AS view, 0::BIGINT AS n, 0::BIGINT AS ids, 0 AS low, 0 AS high, 0::BIGINT AS ranks, 0::BIGINT AS marks WHERE false",
+    "cosine_ranking": f"""SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, chunk_id)::INT AS rank, round(s, 4) AS score
+FROM (SELECT a.vec_id AS item_id, b.vec_id AS chunk_id, {_COSINE} AS s FROM embeddings a, embeddings b WHERE a.vec_id < {SEMANTIC_ITEMS})""",
+    "rrf_fusion": f"""WITH {_corpus_sql("SELECT doc_id AS chunk_ord, text FROM documents JOIN embeddings ON doc_id = vec_id")}, {_keyword_sql("SELECT item_id, text FROM benchmark JOIN embeddings ON item_id = vec_id")},
+sem AS (SELECT i.item_id, c.chunk_ord, row_number() OVER (PARTITION BY i.item_id ORDER BY round({_COSINE}, 6) DESC, c.chunk_ord) AS rank
+  FROM it i JOIN embeddings a ON a.vec_id = i.item_id CROSS JOIN c JOIN embeddings b ON b.vec_id = c.chunk_ord),
+f AS (SELECT kw.item_id, kw.chunk_ord, 1.0::DOUBLE / ({P.RRF_K} + kw.rank) + 1.0::DOUBLE / ({P.RRF_K} + sem.rank) AS score FROM kw JOIN sem USING (item_id, chunk_ord))
+SELECT item_id, chunk_ord AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, chunk_ord)::INT AS rank, round(score, 6) AS score FROM f""",
+    "hydrate_mapping": f"{_ALL} SELECT item_id, chunk_ord AS chunk_id, rank, lang, source, n_chars FROM kw JOIN documents ON doc_id = chunk_ord",
+    "slider_pool": f"{_ALL} SELECT item_id, round(round(min(score), 6), 3) AS low, round(round(max(score), 6), 3) AS high, round(min(score), 6) >= round(max(score), 6) AS disabled FROM kw WHERE above_floor GROUP BY item_id",
+    "default_floor": f"{_ALL} SELECT item_id, round(round(arg_max(score, rank), 6), 3) AS floor FROM kw WHERE rank <= {serve.TOP_K} GROUP BY item_id",
+    "shown_candidates": f"{_ALL} SELECT item_id, chunk_ord AS chunk_id, quality, doc_id IS NULL AS join_missing FROM kw LEFT JOIN labels ON doc_id = chunk_ord WHERE above_floor AND round(score, 6) >= 5.0",
+    "segment_carry_forward": """WITH t AS (SELECT conv_id, turn, role, substr(text, 1, 1) AS i FROM conversations),
+h AS (SELECT *, lag(i) OVER w IS DISTINCT FROM i OR row_number() OVER w = 1 AS s FROM t WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+m AS (SELECT t.conv_id, t.turn, coalesce(h.s, false) AS is_start, h.role AS doc_id, h.i AS doc_name FROM t LEFT JOIN h USING (conv_id, turn))
+SELECT conv_id, turn, is_start, (sum(is_start::INT) OVER w - 1)::INT AS subdoc_idx,
+  last_value(CASE WHEN is_start THEN doc_id END IGNORE NULLS) OVER w AS cur_doc_id, last_value(CASE WHEN is_start THEN doc_name END IGNORE NULLS) OVER w AS cur_doc_name
+FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""",
+    "stitch_islands": f"""WITH r AS (SELECT l_orderkey, l_linenumber AS page, l_quantity AS q, l_returnflag = 'R' AS below, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS o FROM lineitem),
+n AS (SELECT *, CASE WHEN lag(page) OVER w + 1 = page AND NOT lag(below) OVER w AND lag(q) OVER w * 4 < {P.STITCH_GAP} AND page * 20.0 < {P.STITCH_TOP} AND abs(lag(q) OVER w - q) < {P.STITCH_X} THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY l_orderkey ORDER BY o)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY o ROWS UNBOUNDED PRECEDING) AS stitch FROM n)
+SELECT l_orderkey::VARCHAR AS source_pdf, stitch::INT AS stitch, arg_min(page, o) AS page_start, arg_max(page, o) AS page_end, count(*)::INT AS n_rows FROM s GROUP BY l_orderkey, stitch""",
+    "paragraph_split": f"""WITH r AS (SELECT l_orderkey, CASE WHEN l_extendedprice / 1000 - lag(l_extendedprice / 1000) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) > {P.PARAGRAPH_GAP} THEN 1 ELSE 0 END AS far FROM lineitem)
+SELECT l_orderkey, (sum(far) + 1)::BIGINT AS n_paragraphs FROM r GROUP BY l_orderkey""",
+    "dedup_suffix": """SELECT doc_id, lang, source || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS clause_no
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)""",
+    "column_gap_threshold": """WITH g AS (SELECT p_brand, p_retailprice AS x, lead(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS y FROM part),
+b AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY y - x DESC NULLS LAST, x) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM g)
+SELECT p_brand AS checklist, n, round(y - x, 4) AS gap, round((x + y) / 2, 4) AS threshold FROM b WHERE k = 1""",
+    "heading_shape": f"""WITH t AS (SELECT doc_id, (doc_id % 40) || CASE WHEN doc_id % 3 = 0 THEN '. ' ELSE ' ' END || string_split(text, chr(10))[1] AS text FROM documents),
+m AS (SELECT doc_id, regexp_extract(text, '{P.NUMBERED}', 1) AS a, regexp_extract(text, '{P.NUMBERED}', 2) AS title, regexp_extract(text, '{P.NUMBERED_PERIOD}', 1) AS p, regexp_extract(text, '{P.NUMBERED_PERIOD}', 2) AS pt FROM t),
+w AS (SELECT *, a <> '' AS x, a = '' AND p <> '' AND len(regexp_split_to_array(trim(pt), '\\s+')) <= {P.PERIOD_TITLE_WORDS} AS y FROM m)
+SELECT doc_id, CASE WHEN x THEN a WHEN y THEN p END AS clause_no, CASE WHEN x THEN trim(title) WHEN y THEN trim(pt) END AS clause_title, x OR y AS numbered FROM w""",
+    "footer_filter": f"""WITH {_LINES}, t AS (SELECT doc_id, CASE WHEN line % 3 = 2 THEN 'Page ' || (line + 1) || ' of 9' ELSE text END AS text FROM lines)
+SELECT doc_id, count(*) AS kept FROM t WHERE NOT (doc_id % 200 <= {P.FOOTER_BAND} AND regexp_matches(text, '(?i){_FOOTER}')) GROUP BY doc_id""",
+    "parenthetical": f"""WITH {_LINES} SELECT doc_id, count(*) AS n FROM lines WHERE regexp_matches(CASE WHEN line % 2 = 0 THEN '(' || text || ')' ELSE text END, '{P.PARENTHETICAL}') GROUP BY doc_id""",
+    "next_kind_lookahead": f"""WITH {_LINES}, k AS (SELECT doc_id, line, CASE length(text) % 7 WHEN 0 THEN 'parenthetical' WHEN 1 THEN 'unnumbered_heading' WHEN 2 THEN 'numbered' WHEN 3 THEN 'table' ELSE 'body' END AS kind FROM lines)
+SELECT doc_id, line, kind, coalesce(first_value(CASE WHEN kind <> 'parenthetical' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) NOT IN ('body', 'table'), true) AS zero_body FROM k""",
+    "table_serialise": f"""WITH {_NATION} SELECT n_regionkey, unnest(generate_series(0, len(rows) - 1))::INT AS line, unnest(list_transform(rows, lambda r: array_to_string(list_transform(r, lambda c: coalesce(c, '')), '{P.CELL_SEPARATOR}'))) AS text FROM t""",
+    "empty_verdict": f"""WITH {_NATION}, v AS (SELECT n_regionkey, len(list_filter(flatten(rows), lambda c: NOT ({_BLANK.format('c')}))) = 0 AS empty_, len(list_filter(CASE WHEN len(rows) > 1 THEN rows[2:] ELSE rows END, lambda r: NOT ({_BLANK.format('r[-1]')}))) = 0 AS last_ FROM t)
+SELECT n_regionkey, CASE WHEN empty_ OR last_ THEN 'DISCARD' ELSE 'KEEP' END AS verdict, CASE WHEN empty_ THEN 'entirely empty' WHEN last_ THEN 'rightmost column blank on every data row' ELSE 'has content' END AS reason FROM v""",
+    "uniqueness_check": "SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "key_check": "SELECT doc_id, 'left' AS side FROM documents ANTI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'right' FROM labels ANTI JOIN documents USING (doc_id)",
+    "line_coverage": f"""WITH {_LINES} SELECT doc_id::VARCHAR AS source_pdf, count(*)::BIGINT AS total_raw_lines, count(*)::BIGINT AS placed, 0::BIGINT AS unaccounted FROM lines WHERE trim(text, chr(9) || chr(10) || chr(13) || ' ') <> '' GROUP BY doc_id""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
