@@ -246,7 +246,7 @@ class Outline:
 
     def table(self, e: dict, empty: bool) -> tuple[str, str]:
         c = self.content(e["page"])
-        c.body += e["serialized"]
+        c.body.extend(e["serialized"])
         c.tables.append(e["table_id"])
         c.last = max(c.last, e["page_end"])
         return "TABLE", f"table {e['table_id']} of the open chunk"

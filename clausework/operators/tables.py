@@ -78,9 +78,10 @@ def without_slivers(stitched: DataFrame) -> DataFrame:
         return (width < P.MIN_COLUMN_WIDTH) & F.forall(F.slice(F.col("rows"), 2, F.greatest(F.size("rows") - 1, F.lit(0))), lambda r: is_blank(F.get(r, c - 1)))
 
     dropped = padded.withColumn("dropped_cols", F.filter(columns, sliver))
-    kept = F.array_except(columns, F.col("dropped_cols"))
-    rows = F.transform("rows", lambda r: F.transform(kept, lambda c: F.get(r, c - 1)))
-    return dropped.withColumns({"rows": rows, "ncols_before_filter": F.col("ncols"), "ncols": F.size(kept)})
+    # a column of its own: inside a lambda, ncols would mean the new one
+    marked = dropped.withColumn("_kept", F.array_except(columns, F.col("dropped_cols")))
+    rows = F.transform("rows", lambda r: F.transform("_kept", lambda c: F.get(r, c - 1)))
+    return marked.withColumns({"rows": rows, "ncols_before_filter": F.col("ncols"), "ncols": F.size("_kept")}).drop("_kept")
 
 
 def verdict(rows: Column, ncols: Column) -> Column:

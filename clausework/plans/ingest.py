@@ -13,7 +13,7 @@ def parse(spans: DataFrame, pages: DataFrame, raw_tables: DataFrame) -> dict[str
     """Every table of stage A, lazily, by name; also `segmented`, `judged`, `diagrams`, `report` and `folded`."""
     raw = T.with_page_facts(raw_tables, spans, pages)
     head = clean.headers(raw_tables, spans)
-    segmented = clean.segment(pages, head)
+    segmented = clean.segment(pages, head).persist()  # a row for each page; every table needs it
     subdocs = clean.subdocuments(segmented)
     cleaned = clean.page_blocks(clean.blocks_from_spans(spans), segmented, raw_tables, pages)
     blocks = clean.named_blocks(cleaned, segmented)
@@ -30,9 +30,16 @@ def parse(spans: DataFrame, pages: DataFrame, raw_tables: DataFrame) -> dict[str
 
 
 def run(catalog: Catalog, spans: DataFrame, pages: DataFrame, raw_tables: DataFrame) -> dict[str, int]:
-    """Replace the workspace by this layout's tables; how many subdocuments and chunks there are."""
+    """Replace the workspace by this layout's tables; how many subdocuments and chunks there are.
+
+    Each step reads what the step before it has stored, so that no page is
+    cleaned and no subdocument folded twice.
+    """
     catalog.clear()
     made = parse(spans, pages, raw_tables)
-    for name in ("subdocuments", "blocks", "tables", "removal_log", "events", "chunks"):
-        catalog.write(name, made[name])
-    return {"subdocuments": catalog.read("subdocuments").count(), "chunks": catalog.read("chunks").count()}
+    stored = {name: catalog.write(name, made[name]) for name in ("subdocuments", "blocks", "tables", "removal_log")}
+    folded = outline.outlines(outline.rows_of_blocks(stored["blocks"]), stored["tables"], stored["subdocuments"]).persist()
+    catalog.write("events", outline.events_table(folded))
+    chunks = catalog.write("chunks", outline.chunks_table(folded, stored["subdocuments"]))
+    folded.unpersist()
+    return {"subdocuments": stored["subdocuments"].count(), "chunks": chunks.count()}
