@@ -18,7 +18,7 @@ from clausework.llm.common import cut, read
 LIMIT = 2048
 END_ID = 1
 #: Words whose ids a worker keeps; when full, the cache starts anew.
-CACHE = 400_000
+CACHE = 600_000
 #: Letters at the start of a word, and below which character they count as Latin.
 FIRST_LETTERS = re.compile(r"[^\W\d_]*")
 LATIN = 0x250
@@ -56,30 +56,34 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.stems: dict[str, bytes] = {"": b""}
-        self.rests: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}
+        self.rests: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            for x in (self, self.stems, self.rests):
+        for x in (self, self.stems, self.rests):
+            if len(x) >= CACHE:
                 x.clear()
-        stem = word[: FIRST_LETTERS.match(word).end()]
-        small, after = stem.lower(), word[len(stem) : len(stem) + 1]
-        # an accent that follows would be joined with the last letter
-        if not (after.isascii() and small.isalpha() and stem.isalpha() and ord(max(small)) < LATIN):
-            stem = small = ""
-        rest, stem = word[len(stem) :], small
+        first = word.rstrip(".,")
+        if not first.isalpha():
+            first = word[: FIRST_LETTERS.match(word).end()]
+        rest, stem = word[len(first) :], first.lower()
+        # other scripts, and an accent that follows and would be joined with the last letter, go through whole
+        if not (stem.isascii() or ord(max(stem)) < LATIN) or not first.isalpha() or not stem.isalpha() or not rest[:1].isascii():
+            rest, stem = word, ""
         head = self.stems.get(stem)
         if head is None:
-            head = self.stems[stem] = array("I", [t.id for t in self.merge(stem.translate(self.letters))]).tobytes() if stem else b""
-        tail = self.rests.get(rest)
-        if tail is None:
-            tail = self.rests[rest] = self.encode(rest) if rest else b""
-        self[word] = head + tail
-        return head + tail
+            letters = stem if stem.isascii() else stem.translate(self.letters)
+            head = self.stems[stem] = array("I", [t.id for t in self.merge(letters)]).tobytes() if stem else b""
+        if rest:
+            tail = self.rests.get(rest)
+            if tail is None:
+                tail = self.rests[rest] = self.encode(rest)
+            head += tail
+        self[word] = head
+        return head
 
     def ids(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))
