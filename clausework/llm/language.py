@@ -55,7 +55,7 @@ class Model:
 
 def _logs(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """log p(feature | language), smoothed by half a count, less the mean over languages."""
-    logs = np.log(counts + 0.5) - np.log(totals + 0.5 * len(counts))
+    logs = np.log(counts + 0.5) - np.log(totals + 0.5 * max(1, len(counts)))
     return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 

@@ -123,20 +123,21 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, stats: bool
     found = repeated_chunks(docs, min_lines)
     by_text = found.groupBy("id", "key").agg(F.collect_list(F.struct("line", "lines")).alias("_cuts"), F.min("keeper").alias("_keeper"))
     by_text = by_text.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "_cuts", "_keeper")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)), "_key": _key()})
+    # the row's own columns stay apart from those used here, whatever they are called
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)).alias("_id"), _key().alias("_key"))
     met = keyed.join(by_text, ["_id", "_key"], "left")
     gone = F.flatten(F.transform("_cuts", lambda c: F.sequence(c["line"], c["line"] + c["lines"] - 1)))
-    met = met.withColumn("_gone", F.when(F.col("_cuts").isNotNull(), gone))
-    lines = F.split("text", "\n")
+    met = met.withColumns({"_gone": F.when(F.col("_cuts").isNotNull(), gone), "_lines": F.split("row.text", "\n")})
     # a set of line numbers, so the time grows with the lines and not with lines times cuts
-    marks = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
-    kept = F.array_join(F.transform(marks, lambda i: F.get(lines, i)), "\n")
-    out = {c: F.col(f"`{c}`") for c in docs.columns}
-    out["text"] = F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
+    met = met.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("row.text")))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    out["text"] = F.col("_kept")
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("_gone").isNotNull(), F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("_gone").isNotNull(), F.length("_kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
     if stats:
-        out |= {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)), "first_doc_id": F.when(F.col("_keeper") < MAX_LONG, F.col("_keeper"))}
+        out |= {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)), "first_doc_id": F.when(F.col("_keeper") < MAX_LONG, F.col("_keeper"))}
     return met.select(*(c.alias(n) for n, c in out.items()))
 
 

@@ -161,14 +161,15 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     columns; of rows equal in every column one stays. Null ids come last.
     """
     names = docs.columns
-    keyed = docs.withColumns({"_k1": F.xxhash64(*names), "_k2": F.xxhash64(F.lit(1), *reversed(names))})
-    rows = cut(fingerprints(keyed.select(F.col("doc_id").alias("_id"), "_k1", "_k2", "text"), ["_id", "_k1", "_k2"]))
+    # the row's own columns stay apart from those used here, whatever they are called
+    keyed = docs.select(F.struct(*names).alias("row"), F.xxhash64(*names).alias("_k1"), F.xxhash64(F.lit(1), *reversed(names)).alias("_k2"))
+    rows = cut(fingerprints(keyed.select(F.col("row.doc_id").alias("_id"), "_k1", "_k2", F.col("row.text").alias("text")), ["_id", "_k1", "_k2"]))
     of = near_groups(rows, radius)
     best = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_k1", "_k2")).alias("best")
     by_fp = rows.groupBy("fp").agg(best)
     grouped = by_fp.join(of, "fp", "left").withColumn("grp", F.coalesce("grp", "fp"))
     stay = grouped.groupBy("grp").agg(F.min("best").alias("best")).select("best._k1", "best._k2").distinct()
-    return keyed.join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*names)
+    return keyed.join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

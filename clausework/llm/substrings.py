@@ -78,11 +78,7 @@ def boundaries(data: bytes, reach: int = REACH) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, doc (which text), start, length (bytes of UTF-8), words, h1, h2 of the chunks of every text.
-
-    Of equal chunks within a text only the first has a row: a passage counts as
-    repeated if another text has it.
-    """
+    """doc_id, doc (which text), start, length (bytes of UTF-8), words, h1, h2 of the chunks of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -101,12 +97,8 @@ def chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
                     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
                     first = ~blank & np.concatenate([[True], blank[:-1]])
                     words = np.add.reduceat(first, starts, dtype=np.int64)
-                    own = {}
-                    for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
-                        own.setdefault(digest(data[s:e]), k)
-                    k = np.fromiter(own.values(), np.int64, len(own))
-                    rows.append(np.column_stack([np.full(len(k), doc_id), np.full(len(k), doc), starts[k], (ends - starts)[k], words[k]]))
-                    digests += own
+                    rows.append(np.column_stack([np.full(len(ends), doc_id), np.full(len(ends), doc), starts, ends - starts, words]))
+                    digests += [digest(data[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
                 if rows:
                     cols = np.concatenate(rows)
                     h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
@@ -123,7 +115,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REA
     in its text; the smallest doc_id keeps it, in all others it is reported.
     Adjacent duplicate chunks are one span; its first_doc_id is the smallest
     keeper of its chunks; spans under `min_words` words are left out. Null and
-    empty texts have no spans. Repetition within one text doesn't count, and rows
+    empty texts have no spans. Repetition within one text alone doesn't count, and rows
     of equal doc_id share one decision. Null ids come after all others and give a
     null doc_id. Other columns are ignored.
 
@@ -147,26 +139,24 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REA
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the spans cut out of text; rows without spans are unchanged, all rows stay."""
+    """docs with the spans of repeated_spans(docs) cut out of text; all rows and columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.schema.names
-            t, c = names.index("text"), names.index("_cuts")
-            out = []
-            for text, cuts in zip(b.column(t).to_pylist(), b.column(c).to_pylist()):
+            names = b.schema.names[:-1]
+            t, out = names.index("text"), []
+            for text, cuts in zip(b.column(t).to_pylist(), b.column(len(names)).to_pylist()):
                 if cuts and text is not None:
                     data = text.encode()
                     for start, length in sorted(((x["start"], x["length"]) for x in cuts), reverse=True):
                         data = data[:start] + data[start + length :]
                     text = data.decode(errors="ignore")  # a cut may part the bytes of one character
                 out.append(text)
-            cols = [pa.array(out, pa.string()) if i == t else x for i, x in enumerate(b.columns) if i != c]
-            yield pa.RecordBatch.from_arrays(cols, [x for x in names if x != "_cuts"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == t else b.column(i) for i in range(len(names))], names)
 
-    cuts = spans.groupBy("doc_key").agg(F.collect_set(F.struct("start", "length")).alias("_cuts")).withColumnRenamed("doc_key", "_doc")
-    met = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(cuts, "_doc", "left").drop("_doc")
-    return met.mapInArrow(run, docs.schema)
+    cuts = spans.groupBy("doc_key").agg(F.collect_set(F.struct("start", "length")).alias("_cuts"))
+    met = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("doc_key")).join(cuts, "doc_key", "left")
+    return met.select("row.*", F.col("_cuts").alias(" cuts")).mapInArrow(run, docs.schema)
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

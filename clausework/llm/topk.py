@@ -34,7 +34,7 @@ def slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lows, np.packbits(padded, axis=2, bitorder="little").view(np.uint64)
 
 
-def add(planes: dict[int, list[np.ndarray]]) -> np.ndarray:
+def add(planes: dict[int, list[np.ndarray]], words: int) -> np.ndarray:
     """The sum of bitmaps, each worth 2**weight to the rows that have it, as slices from the lowest.
 
     Three bitmaps of a weight are one of it (exclusive-or) and one of the next
@@ -47,7 +47,7 @@ def add(planes: dict[int, list[np.ndarray]]) -> np.ndarray:
         stack = [x for x in [*planes.get(weight, []), *carry] if len(x)]
         carry = []
         if not stack:
-            out.append(np.zeros_like(next(iter(planes.values()))[0][0]))
+            out.append(np.zeros(words, np.uint64))
             weight += 1
             continue
         x = np.concatenate(stack) if len(stack) > 1 else stack[0]
@@ -83,7 +83,7 @@ def scores(query: np.ndarray, lows: np.ndarray, bits: np.ndarray) -> tuple[np.nd
             planes.setdefault(f + s, []).extend([plus[:, s], minus[:, s]])
     if not any(len(x) for xs in planes.values() for x in xs):
         return np.zeros((1, bits.shape[2]), np.uint64), base
-    return add(planes), base
+    return add(planes, bits.shape[2]), base
 
 
 def _count(x: np.ndarray) -> int:

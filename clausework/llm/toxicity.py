@@ -25,9 +25,9 @@ STEMS = (4, 5, 6, 7, 8, 9)
 LEVELS = (1, 2, 3)
 #: Signals that a worker counts before it hands them on.
 COUNTED = 300_000
-#: A lexicon voter's share of toxic documents must be this high, and by chance as rare as this over all candidates.
+#: A lexicon voter's share of toxic documents must be this high; of all that are chosen so many may be there by chance.
 PRECISION = 0.8
-CHANCE = 0.01
+FALSE_FINDS = 0.05
 #: Voters whose errors agree more than this count as correlated.
 CORRELATED = 0.3
 EM_ROUNDS = 25
@@ -112,8 +112,10 @@ def choose_lexicon(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: in
     if not n_toxic or not n_clean:
         return []
     rate = n_toxic / (n_toxic + n_clean)
-    bar = CHANCE / max(1, len(counts))
-    good = [(t / (t + c), t, s) for s, t, c in counts if t / (t + c) >= max(PRECISION, rate) and _tail(t, t + c, rate) <= bar]
+    good = sorted((_tail(t, t + c, rate), -t, s, t / (t + c)) for s, t, c in counts if t / (t + c) >= max(PRECISION, rate))
+    m = max(1, len(counts))
+    found = max((k for k, (p, *_) in enumerate(good, 1) if p <= FALSE_FINDS * k / m), default=0)  # Benjamini and Hochberg
+    good = sorted((p, -minus, s) for _, minus, s, p in good[:found])
     good.sort(key=lambda x: (-x[1], x[2]))
     kept = {s: (p, t) for p, t, s in good[:MOST_VOTERS]}
 
@@ -128,12 +130,13 @@ def label_model(votes: np.ndarray, prior: float, seed: np.ndarray) -> tuple[np.n
     """(posterior, hit rates, weights) of voters, by expectation maximisation.
 
     votes: documents x voters, 1 for a vote and 0 for none. The latent label
-    starts from seed (given labels); each voter then has a rate of voting in
-    either class. Voters whose votes still agree beyond their class rates are
+    starts from seed, the given labels, which are one more voter that can err;
+    each voter has a rate of voting in either class. Voters whose votes still agree beyond their class rates are
     correlated; the weight of each is divided by how many it stands for, so that
     a word and its own beginning don't count as two witnesses.
     """
     y = seed.astype(np.float64).copy()
+    votes = np.column_stack([votes, seed])
     n, m = votes.shape
     w = np.ones(m)
     rates = np.zeros((2, m))
@@ -141,10 +144,12 @@ def label_model(votes: np.ndarray, prior: float, seed: np.ndarray) -> tuple[np.n
         pos, neg = max(y.sum(), 1e-9), max((1 - y).sum(), 1e-9)
         rates[1] = (votes.T @ y + 1e-2) / (pos + 2e-2)
         rates[0] = (votes.T @ (1 - y) + 1e-2) / (neg + 2e-2)
+        rates[:, -1] = np.clip(rates[:, -1], 0.02, 0.98)  # however well they fit
         if step == 1:  # correlations given the label
             r = votes - (y[:, None] * rates[1] + (1 - y)[:, None] * rates[0])
             sd = np.sqrt((r * r).mean(axis=0)) + 1e-9
             corr = (r.T @ r) / n / np.outer(sd, sd)
+            corr[-1, :-1] = corr[:-1, -1] = 0.0  # the given labels don't stand for voters
             w = 1.0 / np.maximum(1.0, np.where(np.abs(corr) > CORRELATED, np.abs(corr), 0).sum(axis=1))
         logit = math.log(prior / (1 - prior)) + votes @ (w * np.log(rates[1] / rates[0])) + (1 - votes) @ (w * np.log((1 - rates[1]) / (1 - rates[0])))
         new = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
@@ -152,7 +157,7 @@ def label_model(votes: np.ndarray, prior: float, seed: np.ndarray) -> tuple[np.n
         y = new
         if done:
             break
-    return y, rates, w
+    return y, rates[:, :-1], w[:-1]
 
 
 def _fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -232,9 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     voters = np.column_stack([x, dense[:, : len(PATTERNS)], silent])
     prior = min(0.99, max(0.001, seed.mean()))
     posterior, _, _ = label_model(voters, prior, seed)
-    # the posterior refines the given labels: where voters are sure it prevails
-    soft = 0.5 * posterior + 0.5 * seed
-    weights, bias = _fit_linear(np.column_stack([x, dense]), soft)
+    weights, bias = _fit_linear(np.column_stack([x, dense]), posterior)
     return Model(lexicon, weights, bias)
 
 
