@@ -1,0 +1 @@
+"""Column expressions, fixed values and the injected text encoder."""

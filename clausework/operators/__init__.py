@@ -1,0 +1 @@
+"""Operators on layouts, chunks, items and rankings; each takes and returns DataFrames."""

@@ -1,0 +1 @@
+"""Whole runs, reports and the registered queries."""

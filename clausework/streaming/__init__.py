@@ -1,0 +1 @@
+"""Reserved: the engine works on whole uploads and has no streaming operator."""

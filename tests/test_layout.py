@@ -12,7 +12,7 @@ from clausework.api import Engine
 from clausework.functions import text as X
 from clausework.operators import checklist, clean, quality
 from clausework.operators import tables as T
-from clausework.plans import ingest
+from clausework.plans import ingest, reports
 from clausework.schemas import schema
 
 HEADER = [["DOCUMENT\nNAME", "Manual", "DOCUMENT NO.", "QM-1"], ["REVISION", "2", "PAGE NO.", "Page 1 of 3"]]
@@ -192,3 +192,10 @@ def test_workspace(spark, stored):
     assert {r["item_count"] for r in engine.checklists().collect()} == {4}
     assert engine.items("aqb").count() == 4
     assert math.isclose(engine.catalog.read("gate").first()["min_high_idf_terms"], 1)
+
+
+def test_reports(layout, stored):
+    made = ingest.parse(*layout)
+    text = reports.empty_tables(made["judged"], stored.catalog.read("removal_log")) + reports.diagram_pages(made["diagrams"])
+    assert "| m.pdf | 3 | 2 | 1 |" in text and "| m.pdf | 5 | 1 |" in text
+    assert "2.00 s" in reports.summary({"index": 2.0}, {"chunks": 3})
