@@ -18,13 +18,13 @@ from clausework.llm.common import held_out, read
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents to learn from, about; whole texts.
 SAMPLE = 20_000
-#: Lexicon voters at most, words and word beginnings each.
-MOST_VOTERS = 2_000
+#: Lexicon voters at most, words and word beginnings.
+MOST_VOTERS = 500
 #: Lengths of word beginnings that can vote, and how many different words of a text must share one.
 STEMS = (4, 5, 6, 7, 8, 9)
 LEVELS = (1, 2, 3)
 #: Signals that a worker counts before it hands them on.
-COUNTED = 300_000
+COUNTED = 150_000
 #: A lexicon voter's share of toxic documents must be this high; of all that are chosen so many may be there by chance.
 PRECISION = 0.8
 FALSE_FINDS = 0.05
@@ -34,7 +34,7 @@ EM_ROUNDS = 25
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 #: Words whose votes a worker remembers.
-CACHE = 300_000
+CACHE = 150_000
 #: Patterns that may vote: (name, what is counted, from how many on).
 PATTERNS = (
     ("shouting", re.compile(r"!{2,}"), 3),
@@ -136,7 +136,7 @@ def label_model(votes: np.ndarray, prior: float, seed: np.ndarray) -> tuple[np.n
     a word and its own beginning don't count as two witnesses.
     """
     y = seed.astype(np.float64).copy()
-    votes = np.column_stack([votes, seed])
+    votes = np.column_stack([votes, seed.astype(votes.dtype)])
     n, m = votes.shape
     w = np.ones(m)
     rates = np.zeros((2, m))
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counted = texts.select("text", "toxic").mapInArrow(signals, "s string, t long, c long").groupBy("s").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counted = counted.where("t + c >= 3").persist()
     tried = counted.count()
-    rows = counted.where((F.col("t") >= 3) & (F.col("t") / (F.col("t") + F.col("c")) >= PRECISION)).orderBy(F.desc("t"), "s").limit(10 * MOST_VOTERS).collect()
+    rows = counted.where((F.col("t") >= 3) & (F.col("t") / (F.col("t") + F.col("c")) >= PRECISION)).orderBy(F.desc("t"), "s").limit(20 * MOST_VOTERS).collect()
     counted.unpersist()
     rows = [(r["s"], r["t"], r["c"]) for r in rows]
     lexicon = {s: i for i, s in enumerate(choose_lexicon(rows + [("", 1, 10**9)] * (tried - len(rows)), n_toxic, n_clean))}
@@ -229,11 +229,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not votes or not n_toxic or not n_clean:
         return Model(lexicon)
     seed = np.array([float(r["toxic"] > 0) for r in votes])
-    x = np.zeros((len(votes), len(lexicon)))
+    x = np.zeros((len(votes), len(lexicon)), np.float32)  # 40 MB at most
     for i, r in enumerate(votes):
         x[i, r["hits"]] = 1.0
-    dense = np.array([r["dense"] for r in votes])
-    silent = (x.sum(axis=1) == 0).astype(float)  # the voter that speaks for clean
+    dense = np.array([r["dense"] for r in votes], np.float32)
+    silent = (x.sum(axis=1) == 0).astype(np.float32)  # the voter that speaks for clean
     voters = np.column_stack([x, dense[:, : len(PATTERNS)], silent])
     prior = min(0.99, max(0.001, seed.mean()))
     posterior, _, _ = label_model(voters, prior, seed)
