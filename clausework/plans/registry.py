@@ -16,6 +16,7 @@ from clausework.functions import patterns as P
 from clausework.functions import text as X
 from clausework.operators import bm25, checklist, clean, outline, quality, ranking, serve
 from clausework.operators import tables as T
+from clausework.plans import index
 
 SEMANTIC_ITEMS = 20
 
@@ -29,7 +30,9 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "benchmark").select("item_id", "text")
+    items = _read(spark, sf_dir, "benchmark").select("item_id", "text")
+    index.check_items(items)
+    return items
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
