@@ -102,29 +102,35 @@ def query_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> D
 def sparse_scores(items: DataFrame, tokenized: DataFrame, vocab: DataFrame, gate: DataFrame, key: str = "item_id") -> DataFrame:
     """item, chunk_ord, score, rare_overlap of the pairs that share a term.
 
-    The asked terms with their idf are the small side of the only join with
-    postings; chunks that share nothing never leave their partition.
+    The terms of the items, a list whose size callers check, are the broadcast
+    side: tokens that nobody asks for are dropped where they are read, and what
+    is shuffled are counts of asked terms and sums of scores.
     """
-    q = query_terms(items, key).join(vocab, "term").crossJoin(F.broadcast(gate.select("high_idf_threshold")))
+    asked = query_terms(items, key)
+    terms = F.broadcast(asked.select("term").distinct())
+    q = vocab.join(terms, "term", "left_semi").join(F.broadcast(asked), "term").crossJoin(F.broadcast(gate.select("high_idf_threshold")))
     q = q.withColumn("rare", (F.col("idf") >= F.col("high_idf_threshold")).cast("int")).select(key, "term", "qf", "idf", "avgdl", "rare")
-    asked = q.select("term").distinct()
-    wanted = tokenized.select("chunk_ord", "dl", F.explode("tokens").alias("term")).join(asked, "term", "left_semi")
+    wanted = tokenized.select("chunk_ord", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
     tf = wanted.groupBy("chunk_ord", "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("qf") * contribution(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"))
-    return tf.join(q, "term").groupBy(key, "chunk_ord").agg(F.sum(part).alias("score"), F.sum("rare").alias("rare_overlap"))
+    return tf.join(F.broadcast(q), "term").groupBy(key, "chunk_ord").agg(F.sum(part).alias("score"), F.sum("rare").alias("rare_overlap"))
 
 
 def keyword_scores(items: DataFrame, tokenized: DataFrame, vocab: DataFrame, gate: DataFrame, key: str = "item_id") -> DataFrame:
     """item, chunk_ord, chunk_id, score, above_floor of every pair of an item and a chunk.
 
-    The full product is the specification: no pair is dropped for its score. It
-    is made from the sparse scores last, with the items on the broadcast side; a
-    list of items, unlike the chunks, is written by hand, and its size is
-    checked by the caller (plans.index.check_items).
+    All pairs are the specification: none is dropped for its score. Pairs that
+    share a term come from the sparse scores; each chunk adds the items that it
+    shares nothing with. So all pairs are made, but none is shuffled before it
+    is ranked. Items, unlike chunks, are written by hand; their number is checked
+    by callers (plans.index.check_items), and their ids fit into one array.
     """
     sparse = sparse_scores(items, tokenized, vocab, gate, key)
-    pairs = tokenized.select("chunk_ord", "chunk_id").crossJoin(F.broadcast(items.select(key)))
-    limits = gate.select("min_high_idf_terms", "min_score")
-    dense = pairs.join(sparse, [key, "chunk_ord"], "left").crossJoin(F.broadcast(limits))
-    score, rare = F.coalesce("score", F.lit(0.0)), F.coalesce("rare_overlap", F.lit(0))
-    return dense.select(key, "chunk_ord", "chunk_id", score.alias("score"), ((rare >= F.col("min_high_idf_terms")) & (score >= F.col("min_score"))).alias("above_floor"))
+    chunks = tokenized.select("chunk_ord", "chunk_id")
+    met = sparse.groupBy("chunk_ord").agg(F.collect_list(key).alias("_met"))
+    every = items.agg(F.collect_set(key).alias("_every"))
+    none = F.array_except("_every", F.coalesce("_met", F.array().cast(f"array<{items.schema[key].dataType.simpleString()}>")))
+    rest = chunks.join(met, "chunk_ord", "left").crossJoin(F.broadcast(every)).select(F.explode(none).alias(key), "chunk_ord", "chunk_id", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("rare_overlap"))
+    dense = sparse.join(chunks, "chunk_ord").select(*rest.columns).unionByName(rest).crossJoin(F.broadcast(gate.select("min_high_idf_terms", "min_score")))
+    above = (F.col("rare_overlap") >= F.col("min_high_idf_terms")) & (F.col("score") >= F.col("min_score"))
+    return dense.select(key, "chunk_ord", "chunk_id", "score", above.alias("above_floor"))

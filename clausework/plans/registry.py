@@ -39,9 +39,14 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_ord"), F.col("vec_id").alias("chunk_id"), "embedding")
 
 
+def _corpus(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tokens and vocabulary, both kept: several parts of a ranking read them."""
+    tokenized = bm25.corpus(chunks).persist()
+    return tokenized, bm25.vocabulary(tokenized).persist()
+
+
 def _keyword(spark: SparkSession, chunks: DataFrame, items: DataFrame) -> DataFrame:
-    tokenized = bm25.corpus(chunks)
-    return ranking.ranked(bm25.keyword_scores(items, tokenized, bm25.vocabulary(tokenized), bm25.fixed_gate(spark)))
+    return ranking.ranked(bm25.keyword_scores(items, *_corpus(chunks), bm25.fixed_gate(spark)))
 
 
 def _shown(df: DataFrame, *more: str) -> DataFrame:
@@ -53,30 +58,27 @@ def keyword_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_ranking_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenized = bm25.corpus(_chunks(spark, sf_dir))
-    scored = bm25.keyword_scores(_items(spark, sf_dir), tokenized, bm25.vocabulary(tokenized), bm25.fixed_gate(spark))
+    scored = bm25.keyword_scores(_items(spark, sf_dir), *_corpus(_chunks(spark, sf_dir)), bm25.fixed_gate(spark))
     return _shown(ranking.ranked_in_parts(scored), "above_floor")
 
 
 def token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.postings(bm25.corpus(_chunks(spark, sf_dir))).select("chunk_ord", "term", "tf", "dl")
+    return bm25.postings(_corpus(_chunks(spark, sf_dir))[0]).select("chunk_ord", "term", "tf", "dl")
 
 
 def rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bm25.rare_terms(bm25.vocabulary(bm25.corpus(_chunks(spark, sf_dir))))
+    found = bm25.rare_terms(_corpus(_chunks(spark, sf_dir))[1])
     return found.select("term", "df", F.round("idf", 4).alias("idf"))
 
 
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenized = bm25.corpus(_chunks(spark, sf_dir))
-    g = bm25.derive_gate(tokenized, bm25.vocabulary(tokenized))
+    g = bm25.derive_gate(*_corpus(_chunks(spark, sf_dir)))
     digits = {c: F.round(c, 4) for c in ("high_idf_threshold", "min_score", "single_term_contribution_min")}
     return g.withColumns(digits)
 
 
 def gate_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenized = bm25.corpus(_chunks(spark, sf_dir))
-    g = quality.gate_grounding(tokenized, bm25.vocabulary(tokenized))
+    g = quality.gate_grounding(*_corpus(_chunks(spark, sf_dir)))
     picks = [F.round(F.col("percentiles")[k], 4).alias(f"p{p}") for k, p in enumerate(quality.PERCENTILES)]
     return g.select("rare_vocab_size", "vocab_size", F.round("single_term_min", 4).alias("single_term_min"), F.round("below_5", 6).alias("below_5"), *picks)
 
