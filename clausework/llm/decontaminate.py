@@ -18,14 +18,15 @@ from clausework.llm.common import read
 WORD = re.compile(r"\w+")
 #: Windows are leaks from this share of equal words on: at most a fifth of an item's words edited.
 SIMILARITY = 0.8
-#: Chance at least to find a window with so many edits, for each item.
+#: Chance to find a window with so many edits, over all items, and the part of it that each item has at least.
 RECALL = 0.95
+LEAST = 0.8
 #: Sampled positions of the embedding in each hash, and hashes at most.
 SAMPLED = 3
 MOST_TABLES = 64
 WALKS = 4
-#: Trials by which the chance of a shared hash is measured.
-TRIALS = 200
+#: Random edits of each item by which the chance of a shared hash is measured.
+TRIALS = 20
 #: Words whose numbers a worker remembers; words of a text that are walked at once.
 CACHE = 500_000
 PART = 1 << 17
@@ -99,8 +100,9 @@ def build(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, r
     """Hash tables until every item, with all edits allowed, is found with the target chance.
 
     The chance is measured: TRIALS random edits of each item are embedded, and
-    hashes are added until the share of trials that meet the item in some hash
-    is `recall` for all items, or there are MOST_TABLES. A window may start next
+    hashes are added until the share of trials that meet their item in some hash is
+    `recall` over all items, and LEAST of that for each of them, or there are
+    MOST_TABLES. A window may start next
     to where an edit is, so a trial counts as met at the best of three starts.
     """
     rng = np.random.default_rng(seed)
@@ -121,7 +123,7 @@ def build(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, r
     own = [[embed(x, bits[w], reach, end) for w in range(WALKS)] for x in numbered]
     trials = []
     for k, x in enumerate(numbered):
-        for _ in range(max(3, TRIALS // 10)):
+        for _ in range(TRIALS):
             y = _edited(x, edits_allowed(len(x), similarity), rng)
             trials.append((k, [[embed(y[s:], bits[w], reach, end) for w in range(WALKS)] for s in (0, 1, 2)]))
     met = np.zeros(len(trials), bool)
@@ -133,7 +135,7 @@ def build(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, r
         index.tables.append((walk, steps, keys, []))
         for n, (k, starts) in enumerate(trials):
             met[n] |= any((s[walk][steps] == keys[k]).all() for s in starts)
-        if np.bincount(item_of, met, len(numbered)).min() / np.bincount(item_of).min() >= recall or met.mean() >= recall and t >= 2 * WALKS:
+        if met.mean() >= recall and np.bincount(item_of, met, len(numbered)).min() >= LEAST * recall * TRIALS:
             break
     return index
 
