@@ -142,16 +142,17 @@ def label_model(votes: np.ndarray, prior: float, seed: np.ndarray) -> tuple[np.n
     rates = np.zeros((2, m))
     for step in range(EM_ROUNDS):
         pos, neg = max(y.sum(), 1e-9), max((1 - y).sum(), 1e-9)
-        rates[1] = (votes.T @ y + 1e-2) / (pos + 2e-2)
-        rates[0] = (votes.T @ (1 - y) + 1e-2) / (neg + 2e-2)
+        voted = (votes.T @ np.column_stack([1 - y, y]).astype(votes.dtype)).astype(np.float64)
+        rates[0], rates[1] = (voted[:, 0] + 1e-2) / (neg + 2e-2), (voted[:, 1] + 1e-2) / (pos + 2e-2)
         rates[:, -1] = np.clip(rates[:, -1], 0.02, 0.98)  # however well they fit
         if step == 1:  # correlations given the label
-            r = votes - (y[:, None] * rates[1] + (1 - y)[:, None] * rates[0])
+            r = votes - (y[:, None] * rates[1] + (1 - y)[:, None] * rates[0]).astype(votes.dtype)
             sd = np.sqrt((r * r).mean(axis=0)) + 1e-9
             corr = (r.T @ r) / n / np.outer(sd, sd)
             corr[-1, :-1] = corr[:-1, -1] = 0.0  # the given labels don't stand for voters
             w = 1.0 / np.maximum(1.0, np.where(np.abs(corr) > CORRELATED, np.abs(corr), 0).sum(axis=1))
-        logit = math.log(prior / (1 - prior)) + votes @ (w * np.log(rates[1] / rates[0])) + (1 - votes) @ (w * np.log((1 - rates[1]) / (1 - rates[0])))
+        absent = w * np.log((1 - rates[1]) / (1 - rates[0]))
+        logit = math.log(prior / (1 - prior)) + absent.sum() + votes @ (w * np.log(rates[1] / rates[0]) - absent).astype(votes.dtype)
         new = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
         done = np.abs(new - y).max() < 1e-4
         y = new
@@ -162,13 +163,14 @@ def label_model(votes: np.ndarray, prior: float, seed: np.ndarray) -> tuple[np.n
 
 def _fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by gradient descent with momentum."""
-    w, b = np.zeros(x.shape[1]), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    x, y = np.asarray(x, np.float32), np.asarray(y, np.float32)  # one precision, or each product copies x
+    w, b = np.zeros(x.shape[1], np.float32), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     vw, vb = np.zeros_like(w), 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -50, 50)))
-        vw = 0.9 * vw + x.T @ (p - y) / len(y) + l2 * w
-        vb = 0.9 * vb + float((p - y).mean())
-        w, b = w - 2.0 * vw, b - 2.0 * vb
+        off = 1 / (1 + np.exp(-np.clip(x @ w + np.float32(b), -50, 50))) - y
+        vw = np.float32(0.9) * vw + x.T @ off / np.float32(len(y)) + np.float32(l2) * w
+        vb = 0.9 * vb + float(off.mean())
+        w, b = w - np.float32(2) * vw, b - 2.0 * vb
     return w, b
 
 
