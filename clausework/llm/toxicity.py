@@ -163,13 +163,16 @@ def label_model(votes: np.ndarray, prior: float, seed: np.ndarray) -> tuple[np.n
 
 def _fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by gradient descent with momentum."""
-    x, y = np.asarray(x, np.float32), np.asarray(y, np.float32)  # one precision, or each product copies x
+    # most documents have no votes at all: equal rows are fitted once, with their number and mean label
+    x, where = np.unique(np.asarray(x, np.float32), axis=0, return_inverse=True)
+    n = np.bincount(where.ravel())
+    mean, share = (np.bincount(where.ravel(), y) / n).astype(np.float32), (n / n.sum()).astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     vw, vb = np.zeros_like(w), 0.0
     for _ in range(rounds):
-        off = 1 / (1 + np.exp(-np.clip(x @ w + np.float32(b), -50, 50))) - y
-        vw = np.float32(0.9) * vw + x.T @ off / np.float32(len(y)) + np.float32(l2) * w
-        vb = 0.9 * vb + float(off.mean())
+        off = (1 / (1 + np.exp(-np.clip(x @ w + np.float32(b), -50, 50))) - mean) * share
+        vw = np.float32(0.9) * vw + x.T @ off + np.float32(l2) * w
+        vb = 0.9 * vb + float(off.sum())
         w, b = w - np.float32(2) * vw, b - 2.0 * vb
     return w, b
 
