@@ -25,8 +25,11 @@ LEAST = 0.8
 SAMPLED = 3
 MOST_TABLES = 64
 WALKS = 4
-#: Random edits of each item by which the chance of a shared hash is measured.
+#: Steps that the sampled positions of one hash lie within; the spans lie anywhere on an item's walk.
+SPAN = 15
+#: Random edits of each item, and edits in one place, by which the chance of a shared hash is measured; items that are measured together.
 TRIALS = 20
+TRIED = 100
 #: Words whose numbers a worker remembers; words of a text that are walked at once.
 CACHE = 500_000
 PART = 1 << 17
@@ -53,30 +56,61 @@ def embed(symbols: np.ndarray, bits: np.ndarray, steps: int, end: int) -> np.nda
     until an edit and, after it, soon fall into step again: few edits give few
     differing positions. Behind the end there is the symbol `end`.
     """
-    out, at = np.full(steps, end, np.int64), 0
+    out, at = np.full(steps, end, np.int64), _pointers(symbols, bits, steps)
+    inside = at < len(symbols)
+    out[inside] = symbols[at[inside]]
+    return out
+
+
+def _pointers(symbols: np.ndarray, bits: np.ndarray, steps: int) -> np.ndarray:
+    """Where the walk stands at each step; bits are of 64 steps, or have a row for each 64."""
+    bits, at = np.atleast_2d(bits), 0
+    out = np.full(steps, len(symbols), np.int64)
     for j in range(steps):
         if at >= len(symbols):
             break
-        out[j] = symbols[at]
-        at += int(bits[symbols[at]] >> np.uint64(j) & np.uint64(1))
+        out[j] = at
+        at += int(bits[j >> 6, symbols[at]] >> np.uint64(j & 63) & np.uint64(1))
     return out
 
 
+@dataclass
+class Table:
+    """A hash: its walk and sampled steps, and for each of its items the symbols there and where the first one stands."""
+
+    walk: int
+    steps: list[int]
+    items: np.ndarray
+    keys: np.ndarray
+    at: np.ndarray
+
+
 @dataclass
 class Index:
-    """What a task needs: words, items and the hash tables of their embeddings."""
+    """What a task needs: words, items and the hash tables of their embeddings.
+
+    bits are of (walk, 64 steps, symbol). The last two symbols stand around the texts: `wall` ends
+    a walk, `pad` is before a text, so that walks enter its first word at all times.
+    """
 
     words: dict[str, int]
     items: list[np.ndarray]
     ids: list[int]
     bits: np.ndarray
-    #: Of each hash: the walk, its sampled steps, and what items have there (sorted) with the items.
-    tables: list[tuple[int, list[int], np.ndarray, list[int]]] = field(default_factory=list)
+    tables: list[Table] = field(default_factory=list)
 
     @property
     def most(self) -> int:
         return max((len(x) for x in self.items), default=0)
 
+    @property
+    def wall(self) -> int:
+        return len(self.words) + 1
+
+    @property
+    def pad(self) -> int:
+        return len(self.words) + 2
+
 
 def edits_allowed(n: int, similarity: float = SIMILARITY) -> int:
     return int(math.floor((1 - similarity) * n + 1e-9))
@@ -96,14 +130,26 @@ def _edited(symbols: np.ndarray, edits: int, rng: np.random.Generator) -> np.nda
     return np.array(x, np.int64)
 
 
+def _gathered(symbols: np.ndarray, edits: int, kind: int) -> np.ndarray:
+    """symbols with all edits in one place: dropped or replaced at the head, in the middle or at the tail."""
+    at = (0, (len(symbols) - edits) // 2, len(symbols) - edits)[kind % 3]
+    return np.concatenate([symbols[:at], np.zeros(edits * (kind // 3), np.int64), symbols[at + edits :]])
+
+
+def length_class(n: int) -> int:
+    """Items of one class differ by less than a quarter in length, and walk as many steps."""
+    return int(math.log(n) / math.log(1.25) + 1e-9)
+
+
 def build(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 0) -> Index:
     """Hash tables until every item, with all edits allowed, is found with the target chance.
 
-    The chance is measured: TRIALS random edits of each item are embedded, and
-    hashes are added until the share of trials that meet their item in some hash is
-    `recall` over all items, and LEAST of that for each of them, or there are
-    MOST_TABLES. A window may start next
-    to where an edit is, so a trial counts as met at the best of three starts.
+    Items of a length class have hashes of their own, whose steps are sampled all along their
+    walk: each hash has its steps within SPAN of each other, and the spans lie anywhere. The
+    chance is measured: TRIALS random edits of each item, and as many with all edits at the head,
+    in the middle or at the tail, stand between other words and are searched, and hashes are
+    added to a class until the share of trials that meet their item in some hash is `recall` for
+    the random edits and for each place, and LEAST of that for each item, or there are MOST_TABLES.
     """
     rng = np.random.default_rng(seed)
     words: dict[str, int] = {}
@@ -112,34 +158,135 @@ def build(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, r
     if sum(len(w) for _, w in texts) > MOST_WORDS:
         raise ValueError(f"the benchmark has more than {MOST_WORDS} words; split it and run each part")
     numbered = [np.array([words.setdefault(x, len(words) + 1) for x in w], np.int64) for _, w in texts]
-    bits = walk_bits(len(words) + 2, WALKS, seed)
-    index = Index(words, numbered, [i for i, _ in texts], bits)
-    end = len(words) + 1
-    shortest = min((len(x) for x in numbered), default=0)
-    if not numbered:
-        return index
-    # a pointer is behind step j at most, so up to the shortest item no window is left
-    reach = max(SAMPLED, min(63, shortest))
-    own = [[embed(x, bits[w], reach, end) for w in range(WALKS)] for x in numbered]
-    trials = []
+    classes: dict[int, list[int]] = {}
     for k, x in enumerate(numbered):
-        for _ in range(TRIALS):
-            y = _edited(x, edits_allowed(len(x), similarity), rng)
-            trials.append((k, [[embed(y[s:], bits[w], reach, end) for w in range(WALKS)] for s in (0, 1, 2)]))
-    met = np.zeros(len(trials), bool)
-    item_of = np.array([k for k, _ in trials])
-    for t in range(MOST_TABLES):
-        walk = t % WALKS
-        steps = sorted(rng.choice(reach, size=min(SAMPLED, reach), replace=False).tolist())
-        keys = np.array([[x[walk][j] for j in steps] for x in own])
-        index.tables.append((walk, steps, keys, []))
-        for n, (k, starts) in enumerate(trials):
-            met[n] |= any((s[walk][steps] == keys[k]).all() for s in starts)
-        if met.mean() >= recall and np.bincount(item_of, met, len(numbered)).min() >= LEAST * recall * TRIALS:
-            break
+        classes.setdefault(length_class(len(x)), []).append(k)
+    # half of the steps move on, so a walk over n words has about 2n steps
+    reach = {c: max(SAMPLED, 2 * min(len(numbered[k]) for k in ks)) for c, ks in classes.items()}
+    blocks = (max(reach.values(), default=1) + 63) // 64
+    bits = np.stack([walk_bits(len(words) + 3, WALKS, seed + 2 * b) for b in range(blocks)], axis=1)
+    index = Index(words, numbered, [i for i, _ in texts], bits)
+    for c, ks in sorted(classes.items()):
+        tables = _tables(index, ks, reach[c], rng)
+        met, kinds = _met(index, ks, tables, similarity, rng)
+        share = lambda n, of: np.array([m.mean() for m in of(met[:, :, :n].any(axis=2))])
+        for n in range(1, len(tables) + 1):
+            places = share(n, lambda m: [m[:, kinds == k] for k in np.unique(kinds)])
+            if places.min() >= recall and share(n, list).min() >= LEAST * recall:
+                break
+        index.tables += tables[:n]
     return index
 
 
+def _tables(index: Index, items: list[int], reach: int, rng: np.random.Generator) -> list[Table]:
+    own = [[_pointers(index.items[k], b, reach) for k in items] for b in index.bits]
+    found = []
+    for t in range(MOST_TABLES):
+        walk, span = t % WALKS, min(SPAN, reach)
+        steps = (rng.integers(reach - span + 1) + np.sort(rng.choice(span, size=SAMPLED, replace=False))).tolist()
+        # a walk that is past its item has nothing to compare
+        inside = [n for n, k in enumerate(items) if own[walk][n][steps[-1]] < len(index.items[k])]
+        at = np.array([own[walk][n][steps] for n in inside], np.int64).reshape(-1, SAMPLED)
+        keys = np.array([index.items[items[n]][p] for n, p in zip(inside, at)], np.int64).reshape(-1, SAMPLED)
+        found.append(Table(walk, steps, np.array([items[n] for n in inside], np.int64), keys, at[:, 0]))
+    return found
+
+
+def _met(index: Index, items: list[int], tables: list[Table], similarity: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Whether (item, trial, table) has a hash in common, and the kind of each trial: 0 for random edits, then head, middle, tail."""
+    kinds = np.array([0] * TRIALS + [1 + n % 3 for n in range(TRIALS)])
+    met = np.zeros((len(items), 2 * TRIALS, len(tables)), bool)
+    for lo in range(0, len(items), TRIED):
+        part, owner, origin = [], [], []
+        for n, k in enumerate(items[lo : lo + TRIED], lo):
+            x = index.items[k]
+            edits = edits_allowed(len(x), similarity)
+            for t in range(2 * TRIALS):
+                y = _edited(x, edits, rng) if t < TRIALS else _gathered(x, edits, (t - TRIALS) % 6)
+                before, after = (rng.integers(1, len(index.words) + 1, 2 * edits + 2) for _ in range(2))
+                part.append(np.concatenate([before, y, after, [index.wall]]))
+                owner.append((n, t))
+                origin.append(len(before))
+        owners, begin = np.array(owner), np.cumsum([0, *map(len, part)])
+        symbols, origins = np.concatenate(part), begin[:-1] + origin
+        for t, starts, found in Walker(index, tables).hits(symbols):
+            trial = np.searchsorted(begin, np.maximum(starts, 0), side="right") - 1
+            ok = trial < len(owners)
+            trial, starts, found = trial[ok], starts[ok], found[ok]
+            allowed = np.array([edits_allowed(len(index.items[k]), similarity) for k in items])[owners[trial, 0]]
+            ok = (np.array(items)[owners[trial, 0]] == found) & (abs(starts - origins[trial]) <= allowed)
+            met[owners[trial[ok], 0], owners[trial[ok], 1], t] = True
+    return met, kinds
+
+
+class Walker:
+    """Walks all windows of a text at once and looks them up in hash tables."""
+
+    def __init__(self, index: Index, tables: list[Table]):
+        self.index = index
+        self.size = len(index.words) + 3
+        self.of_walk: dict[int, list[tuple]] = {}
+        for t, x in enumerate(tables):
+            if not len(x.items):
+                continue
+            prefix, levels = np.zeros(len(x.keys), np.int64), []
+            for d, j in enumerate(x.steps):
+                code = prefix * self.size + x.keys[:, d]
+                known, prefix = np.unique(code, return_inverse=True)
+                levels.append((j, known))
+            order = np.argsort(prefix, kind="stable")
+            ends = np.searchsorted(prefix[order], np.arange(prefix.max() + 2))
+            seen, where = np.zeros(self.size, bool), np.zeros(self.size, np.int64)
+            seen[levels[0][1]] = True
+            where[levels[0][1]] = np.arange(len(levels[0][1]))
+            self.of_walk.setdefault(x.walk, []).append((x.steps[0], t, seen, where, levels[1:], x.items[order], x.at[order], ends))
+        for found in self.of_walk.values():
+            found.sort(key=lambda x: x[:2])
+
+    def hits(self, symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(table, starts, items): where an item would begin whose hash some window shares.
+
+        Walks that meet stay together, so only the places where walks stand are kept, which
+        soon are few. At a table's first step those go on that stand on some item's symbol.
+        """
+        padded = np.append(symbols, self.index.wall).astype(np.int64)
+        for walk, tables in self.of_walk.items():
+            blocks: dict[int, np.ndarray] = {}
+
+            def moved(at: np.ndarray, step: int) -> np.ndarray:
+                if step >> 6 not in blocks:
+                    bits = self.index.bits[walk, step >> 6].copy()
+                    bits[self.index.wall] = 0
+                    blocks[step >> 6] = bits[padded]
+                go = blocks[step >> 6].take(at)
+                go >>= np.uint64(step & 63)
+                go &= np.uint64(1)
+                return at + go.view(np.int64)
+
+            at, step = np.arange(len(symbols)), 0
+            for first, t, seen, where, levels, items, stands, ends in tables:
+                while step < first:
+                    at = moved(at, step)
+                    step += 1
+                    if step % 2 == 0:
+                        at = at[np.append(True, at[1:] != at[:-1])]
+                here = padded[at]
+                hit = np.flatnonzero(seen[here])
+                begun, pos, code, now = at[hit], at[hit], where[here[hit]], step
+                for j, known in levels:
+                    while now < j and len(pos):
+                        pos, now = moved(pos, now), now + 1
+                    full = code * self.size + padded[pos]
+                    k = np.searchsorted(known, full)
+                    k[k == len(known)] = 0
+                    ok = known[k] == full
+                    begun, pos, code = begun[ok], pos[ok], k[ok]
+                if len(begun):
+                    n = ends[code + 1] - ends[code]
+                    which = np.repeat(ends[code], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    yield t, np.repeat(begun, n) - stands[which], items[which]
+
+
 class Pattern:
     """An item's words as bit masks, for edit distances by bit-parallel columns."""
 
@@ -149,9 +296,11 @@ class Pattern:
         for i, x in enumerate(symbols.tolist()):
             self.masks[x] = self.masks.get(x, 0) | 1 << i
 
-    def distance(self, text: list[int], most: int) -> tuple[int, int]:
+    def distance(self, text: list[int], most: int, anywhere: bool = False) -> tuple[int, int]:
         """(distance, length of the best prefix of text), exact up to `most`, else more than it.
 
+        anywhere: the best part of text may begin at any word of it; the length is where it ends.
+
         Each bit of up and down says that the column of the distance table grows
         or falls by one there, so a word of text costs a few operations on
         integers. A prefix that is shorter wins a tie.
@@ -168,7 +317,7 @@ class Pattern:
                 score += 1
             elif left & last:
                 score -= 1
-            right = right << 1 | 1
+            right = right << 1 | (not anywhere)
             up = (left << 1 | ~(diagonal | right)) & full
             down = right & diagonal & full
             if score < best:
@@ -203,121 +352,71 @@ class Finder:
         self.index = index
         self.similarity = similarity
         self.numbers = Numbers(index.words)
-        self.member = np.zeros((len(index.items), len(index.words) + 2), bool)
+        self.member = np.zeros((len(index.items), len(index.words) + 3), bool)
         for k, x in enumerate(index.items):
             self.member[k, x] = True
         self.lengths = np.array([len(x) for x in index.items], np.int64)
         self.allowed = np.array([edits_allowed(n, similarity) for n in self.lengths], np.int64)
         self.patterns = [Pattern(x) for x in index.items]
-        size = len(index.words) + 2
-        self.levels = []  # for each table: the walk, and by sampled step which prefixes of keys exist
-        for walk, steps, keys, _ in index.tables:
-            prefix, levels = np.zeros(len(keys), np.int64), []
-            for d, j in enumerate(steps):
-                code = prefix * size + keys[:, d]
-                known, prefix = np.unique(code, return_inverse=True)
-                levels.append((j, known))
-            order = np.argsort(prefix, kind="stable")
-            levels_end = np.searchsorted(prefix[order], np.arange(prefix.max() + 2))
-            self.levels.append((walk, levels, order, levels_end))
-        self.first = []
-        for _, levels, _, _ in self.levels:
-            seen = np.zeros(size, bool)
-            seen[levels[0][1]] = True
-            where = np.zeros(size, np.int64)
-            where[levels[0][1]] = np.arange(len(levels[0][1]))
-            self.first.append((seen, where))
+        self.walker = Walker(index, index.tables)
+        #: Words before a text, by which walks come to its first word at all times; words that a search needs on both sides.
+        self.before = 2 * int(self.allowed.max(initial=0)) + 2
+        self.around = 4 * index.most + self.before
 
     def candidates(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) of windows that share a hash with an item.
-
-        All windows of a text walk together, a step at a time. After each sampled
-        step only those go on whose symbols so far are some item's.
-        """
-        index, size = self.index, len(self.index.words) + 2
-        end = size - 1
-        padded = np.concatenate([symbols, [end]]).astype(np.int64)
-        found = []
-        for walk in range(len(index.bits)):
-            tables = [t for t, x in enumerate(self.levels) if x[0] == walk]
-            if not tables:
-                continue
-            moves = index.bits[walk][padded]
-            moves[-1] = 0
-            at = np.arange(len(symbols))
-            live: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]] = {}
-            # whole text: up to each table's first sampled step; then only its survivors
-            waiting = sorted(tables, key=lambda t: self.levels[t][1][0][0])
-            step = 0
-            for t in waiting:
-                first = self.levels[t][1][0][0]
-                while step < first:
-                    at += (moves[at] >> np.uint64(step) & np.uint64(1)).astype(np.int64)
-                    step += 1
-                seen, where = self.first[t]
-                here = padded[at]
-                hit = np.flatnonzero(seen[here])
-                starts, pos, code, now = hit, at[hit], where[here[hit]], step
-                for j, known in self.levels[t][1][1:]:
-                    while now < j:
-                        pos = pos + (moves[pos] >> np.uint64(now) & np.uint64(1)).astype(np.int64)
-                        now += 1
-                    full = code * size + padded[pos]
-                    k = np.searchsorted(known, full)
-                    k[k == len(known)] = 0
-                    ok = known[k] == full
-                    starts, pos, code = starts[ok], pos[ok], k[ok]
-                    if not len(starts):
-                        break
-                if len(starts):
-                    _, _, order, ends = self.levels[t]
-                    n = ends[code + 1] - ends[code]
-                    which = np.repeat(ends[code], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    found.append((np.repeat(starts, n), order[which]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.unique(np.concatenate([s for s, _ in found]) * len(index.items) + np.concatenate([i for _, i in found]))
-        return both // len(index.items), both % len(index.items)
+        """(start, item): where items would begin of which some window has a hash."""
+        found = [starts * len(self.index.items) + items for _, starts, items in self.walker.hits(symbols)]
+        both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return both // len(self.index.items), both % len(self.index.items)
 
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, words, distance) of leaks; of overlapping windows of an item the best counts.
 
-        The words of all texts stand in one array, with a symbol between texts
-        that no item has; a window ends with its text.
+        The words of all texts stand in one array, behind symbols that no item has; a window
+        stays in its text. A candidate says where an item would begin if nothing
+        was inserted or dropped before the hash, so windows that begin up to the
+        allowed edits around it are aligned.
         """
-        index, end = self.index, len(self.index.words) + 1
+        index = self.index
         if not index.items:
             return []
-        gap = np.array([end], np.int32)
-        parts = [x for t in texts for x in (self.numbers.of(t), gap)]
+        gap = np.array([index.wall, *[index.pad] * self.before], np.int32)
+        parts = [x for t in texts for x in (gap, self.numbers.of(t))]
         symbols = np.concatenate(parts) if parts else gap[:0]
-        ends = np.cumsum([len(x) for x in parts])[::2]  # of the texts
-        from_ = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-        known = np.concatenate([[0], np.cumsum((symbols > 0) & (symbols < end))])
-        best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        ends = np.cumsum([len(x) for x in parts])[1::2]  # of the texts
+        from_ = np.cumsum([len(x) for x in parts])[::2]
+        known = np.concatenate([[0], np.cumsum((symbols > 0) & (symbols < index.wall))])
+        windows: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
         for lo in range(0, len(symbols), PART):
-            part = symbols[lo : lo + PART + 2 * index.most]
-            starts, items = self.candidates(part)
-            ok = starts < PART
-            starts, items = starts[ok] + lo, items[ok]
-            doc = np.searchsorted(ends, starts, side="right")
-            upto = np.minimum(starts + self.lengths[items] + self.allowed[items], ends[np.minimum(doc, len(ends) - 1)])
+            first = max(0, lo - self.around)
+            starts, items = self.candidates(symbols[first : lo + PART + self.around])
+            starts = starts + first
+            # a start before the symbols of the part is left to the part before it, if there is one
+            ok = (starts < lo + PART) & ((starts >= lo) | (lo == 0))
+            starts, items = starts[ok], items[ok]
+            # the text in which the item would end: its start may lie before the text
+            doc = np.minimum(np.searchsorted(ends, starts + self.allowed[items], side="right"), len(ends) - 1)
+            since = np.maximum(starts - self.allowed[items], from_[doc])
+            upto = np.minimum(starts + self.lengths[items] + self.allowed[items], ends[doc])
             need = self.lengths[items] - self.allowed[items]
             # without enough words of any item, and then of this item, in the window there is no need to align
-            ok = np.flatnonzero(known[np.maximum(upto, starts)] - known[starts] >= need)
+            ok = np.flatnonzero((upto > since) & (known[np.maximum(upto, since)] - known[since] >= need))
             for at in range(0, len(ok), 1 << 13):
                 k = ok[at : at + (1 << 13)]
-                inside = starts[k][:, None] + np.arange(int((upto[k] - starts[k]).max()))
+                inside = since[k][:, None] + np.arange(int((upto[k] - since[k]).max()))
                 hit = self.member[items[k][:, None], symbols[np.minimum(inside, len(symbols) - 1)]] & (inside < upto[k][:, None])
                 for n in k[hit.sum(axis=1) >= need[k]].tolist():
-                    i, s, most = int(items[n]), int(starts[n]), int(self.allowed[items[n]])
-                    d, length = self.patterns[i].distance(symbols[s : upto[n]].tolist(), most)
-                    if d <= most:
-                        best.setdefault((int(doc[n]), i), []).append((d, s, length))
+                    i, most = int(items[n]), int(self.allowed[items[n]])
+                    if self.patterns[i].distance(symbols[since[n] : upto[n]].tolist(), most, anywhere=True)[0] > most:
+                        continue
+                    tried = windows.setdefault((int(doc[n]), i), {})
+                    for s in range(int(since[n]), min(int(starts[n]) + most + 1, int(ends[doc[n]]))):
+                        if s not in tried:
+                            tried[s] = self.patterns[i].distance(symbols[s : min(s + len(index.items[i]) + most, int(ends[doc[n]]))].tolist(), most)
         found = []
-        for (k, i), windows in best.items():
+        for (k, i), tried in windows.items():
             taken: list[tuple[int, int]] = []
-            for d, s, length in sorted(windows):
+            for d, s, length in sorted((d, s, length) for s, (d, length) in tried.items() if d <= self.allowed[i]):
                 if all(s + length <= a or s >= z for a, z in taken):
                     taken.append((s, s + length))
                     found.append((k, index.ids[i], int(s - from_[k]), length, d))

@@ -129,3 +129,25 @@ def test_texts_beyond_one_part(monkeypatch):
     text = " ".join(["x"] * 40 + [item] + ["y"] * 33 + [item])
     got = D.Finder(D.build([(7, item)])).leaks([None, text, ""])
     assert [(k, i, s, n, d) for k, i, s, n, d in got] == [(1, 7, 40, 14, 0), (1, 7, 87, 14, 0)]
+
+
+def test_recall_of_edits_in_one_place(spark):
+    items = sorted((r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/sf0.1/benchmark.parquet").collect())
+    finder = D.Finder(D.build(items))
+    for place in range(3):
+        for word in ([], ["zzq"]):
+            texts = []
+            for _, t in items:
+                w = D.words_of(t)
+                k = D.edits_allowed(len(w))
+                at = (0, (len(w) - k) // 2, len(w) - k)[place]
+                texts.append(" ".join(["Some other words here", *w[:at], *word * k, *w[at + k :], "and after it"]))
+            got = {(k, i) for k, i, *_ in finder.leaks(texts)}
+            assert sum((k, i) in got for k, (i, _) in enumerate(items)) >= 0.95 * len(items), (place, word)
+
+
+def test_passage_without_its_head_at_the_head_of_a_text(spark):
+    items = sorted((r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/sf0.1/benchmark.parquet").collect())
+    texts = [" ".join(D.words_of(t)[D.edits_allowed(len(D.words_of(t))) :]) for _, t in items]
+    got = {(k, i) for k, i, *_ in D.Finder(D.build(items)).leaks(texts)}
+    assert sum((k, i) in got for k, (i, _) in enumerate(items)) >= 0.95 * len(items)
