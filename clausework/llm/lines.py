@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,13 +101,54 @@ def repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def _after_first(rows: DataFrame, same: list[str]) -> DataFrame:
-    """Of rows alike in `same`, those after the first by (id, key, line)."""
+    """Of rows alike in `same`, those after the first by (id, key, line) that share no line with it."""
     first = rows.groupBy(*same).agg(F.min("id").alias("keeper"))
     of_keeper = rows.join(first, same)
     # within the keeping document the first text and line stay
     own = of_keeper.where("id = keeper").groupBy(*same).agg(F.min(F.struct("key", "line")).alias("stays"))
     met = of_keeper.join(own, same)
-    return met.where((F.col("id") != F.col("keeper")) | (F.struct("key", "line") != F.col("stays"))).select("id", "key", "line", "lines", "keeper").distinct()
+    apart = (F.col("key") != F.col("stays.key")) | (F.col("line") >= F.col("stays.line") + F.col("lines"))
+    return met.where((F.col("id") != F.col("keeper")) | apart).select("id", "key", "line", "lines", "keeper").distinct()
+
+
+def window_rows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """id, key (of the text), line, lines, h1, h2 of every window of `min_lines` lines of every text.
+
+    A run of that many lines or more is the union of its windows, wherever it
+    begins and ends. h1 and h2 are 128 bits of BLAKE2b over those of the lines,
+    so no two windows that differ are known to share them and none can be made to.
+    """
+
+    def digest(data: bytes) -> bytes:
+        return hashlib.blake2b(data, digest_size=16).digest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "key", "line", "lines", "h1", "h2"]
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                found, counts = [], []
+                for text in b.column(2).cast(pa.binary()):
+                    data = text.as_py()
+                    hashes = [digest(x) for x in data.split(b"\n")] if data else []
+                    counts.append(max(0, len(hashes) - min_lines + 1))
+                    found += [digest(b"".join(hashes[i : i + min_lines])) for i in range(counts[-1])]
+                if found:
+                    of = np.repeat(np.arange(b.num_rows), counts)
+                    line = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+                    columns = [b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), line.astype(np.int32), np.full(len(of), min_lines, np.int32), h[:, 0], h[:, 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    used = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)), _key(), "text")
+    return used.mapInArrow(run, "id long, key long, line int, lines int, h1 long, h2 long")
+
+
+def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """id, key, line, lines, keeper of the windows that an earlier window repeats; digests that occur once are dropped first."""
+    places = window_rows(docs, min_lines).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("z"), F.min("line").alias("l0"), F.max("line").alias("l1"), F.min("key").alias("k0"), F.max("key").alias("k1"))
+    often = cut(places.where("n > 1 AND (a < z OR l0 < l1 OR k0 < k1)").select("h1", "h2"))
+    return _after_first(cut(window_rows(docs, min_lines).join(often, ["h1", "h2"])), ["h1", "h2"])
 
 
 def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, stats: bool = False) -> DataFrame:
@@ -120,13 +162,28 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, stats: bool
     treated as one document. stats adds n_lines, n_removed and first_doc_id (the
     smallest keeper; null if nothing was removed). An empty table gives no rows.
     """
-    found = repeated_chunks(docs, min_lines)
+    return _without(docs, repeated_chunks(docs, min_lines), stats)
+
+
+def drop_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, stats: bool = False) -> DataFrame:
+    """docs without the runs of `min_lines` lines or more that an earlier place has already.
+
+    As drop_repeated_lines(), but a run may begin and end at any line: a line goes
+    if it lies in `min_lines` consecutive lines that stand at an earlier place of
+    docs as they were given. Within a text that place must not overlap, so a line
+    that stands four times in a row is left twice. Runs of empty lines count as
+    any others.
+    """
+    return _without(docs, repeated_windows(docs, min_lines), stats)
+
+
+def _without(docs: DataFrame, found: DataFrame, stats: bool) -> DataFrame:
     by_text = found.groupBy("id", "key").agg(F.collect_list(F.struct("line", "lines")).alias("_cuts"), F.min("keeper").alias("_keeper"))
     by_text = by_text.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "_cuts", "_keeper")
     # the row's own columns stay apart from those used here, whatever they are called
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)).alias("_id"), _key().alias("_key"))
     met = keyed.join(by_text, ["_id", "_key"], "left")
-    gone = F.flatten(F.transform("_cuts", lambda c: F.sequence(c["line"], c["line"] + c["lines"] - 1)))
+    gone = F.array_distinct(F.flatten(F.transform("_cuts", lambda c: F.sequence(c["line"], c["line"] + c["lines"] - 1))))
     met = met.withColumns({"_gone": F.when(F.col("_cuts").isNotNull(), gone), "_lines": F.split("row.text", "\n")})
     # a set of line numbers, so the time grows with the lines and not with lines times cuts
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
@@ -143,5 +200,14 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, stats: bool
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    done = drop_repeated_lines(docs, stats=True)
+    return _shown(drop_repeated_lines(docs, stats=True))
+
+
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_lines for every repeated run of lines, not only for repeated chunks."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return _shown(drop_repeated_runs(docs, stats=True))
+
+
+def _shown(done: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", "first_doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))

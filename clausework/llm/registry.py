@@ -5,7 +5,7 @@ from __future__ import annotations
 from clausework.llm.chat import OP6_SQL, op6_chat_formatting
 from clausework.llm.decontaminate import op3_decontaminate
 from clausework.llm.language import op2_language
-from clausework.llm.lines import op8_lines
+from clausework.llm.lines import op8_line_runs, op8_lines
 from clausework.llm.packing import op9_packing
 from clausework.llm.simhash import op5_simhash
 from clausework.llm.substrings import op1_substrings
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op6_chat_formatting": op6_chat_formatting,
         "op7_toxicity": op7_toxicity,
         "op8_lines": op8_lines,
+        "op8_line_runs": op8_line_runs,
         "op9_packing": op9_packing,
         "op10_url_filters": op10_url_filters,
     }

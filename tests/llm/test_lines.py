@@ -73,3 +73,44 @@ def test_digests_that_collide_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(lines, "chunk_rows", lambda docs, with_text, min_lines=2: rows if with_text else rows.drop("body"))
     got = lines.repeated_chunks(documents(spark, [a, b, a]))
     assert [(r["id"], r["keeper"]) for r in got.collect()] == [(3, 1)]
+
+
+def runs_by_hand(texts, least=2):
+    """texts in order of id, without the lines of runs that an earlier place has; compares lines, not chunks."""
+    first, out = {}, []
+    for k, t in enumerate(texts):
+        ls, gone = (t or "").split("\n"), set()
+        for i in range(len(ls) - least + 1):
+            at = first.setdefault(tuple(ls[i : i + least]), (k, i))
+            if at[0] < k or at[1] + least <= i:
+                gone |= set(range(i, i + least))
+        out.append("\n".join(x for i, x in enumerate(ls) if i not in gone) if t is not None else None)
+    return out
+
+
+def test_runs_against_brute_force_over_lines(spark):
+    import hashlib
+
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect())
+    want = runs_by_hand([t for _, t in docs])
+    got = {r["doc_id"]: r for r in lines.op8_line_runs(spark, f"{DATA}/sf0.01").collect()}
+    assert len(got) == len(docs)
+    assert all(got[i]["text_sha256"] == hashlib.sha256(w.encode()).hexdigest() for (i, _), w in zip(docs, want))
+
+
+def test_short_runs_in_the_middle_of_different_texts(spark):
+    rng = random.Random(3)
+    some = lambda n: [str(rng.random()) for _ in range(n)]
+    shared = [some(n) for n in (2, 3, 4, 8)]
+    texts = ["\n".join([*some(5), *shared[k % 4], *some(6)]) for k in range(40)] + ["x\ny\nx\ny\nx", "a\na\na\na", "x\nq"]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_runs(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == runs_by_hand(texts)
+    assert all(len(got[k].split("\n")) == 11 for k in range(4, 40)) and got[41] == "a\na" and got[42] == "x\nq"
+    assert lines.drop_repeated_runs(documents(spark, texts), min_lines=3).where("doc_id = 4").first()["text"] == texts[4]
+
+
+def test_runs_of_texts_that_share_an_id(spark):
+    texts = ["p\nq\nr", "p\nq\ns", "p\nq\nt"]
+    for ids in ([1, 1, 1], [None, None, None]):
+        got = [r["text"] for r in lines.drop_repeated_runs(documents(spark, texts, ids)).collect()]
+        assert sorted(map(len, got)) == [1, 1, 5]
