@@ -108,6 +108,13 @@ def cosine_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(ranking.ranked(ranking.semantic_scores(items, v)))
 
 
+def cosine_ranking_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As cosine_ranking, for the vectors of all items of the benchmark."""
+    v = _vectors(spark, sf_dir)
+    items = _items(spark, sf_dir).join(v.select(F.col("chunk_ord").alias("item_id"), "embedding"), "item_id")
+    return _shown(ranking.ranked(ranking.semantic_scores(items.select("item_id", "embedding"), v)))
+
+
 def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     v = _vectors(spark, sf_dir)
     chunks = _chunks(spark, sf_dir).join(v.select("chunk_ord", "embedding"), "chunk_ord")
@@ -278,7 +285,7 @@ def checklist_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
-    keyword_ranking, keyword_ranking_parts, token_store, rare_terms, gate, gate_grounding, zero_pass, full_list_check, list_faults, cosine_ranking, rrf_fusion, hydrate_mapping, slider_pool,
+    keyword_ranking, keyword_ranking_parts, token_store, rare_terms, gate, gate_grounding, zero_pass, full_list_check, list_faults, cosine_ranking, cosine_ranking_items, rrf_fusion, hydrate_mapping, slider_pool,
     default_floor, shown_candidates, segment_carry_forward, stitch_islands, paragraph_split, dedup_suffix, column_gap_threshold, heading_shape, footer_filter, parenthetical, next_kind_lookahead,
     table_serialise, empty_verdict, uniqueness_check, key_check, chunk_tree, line_coverage, checklist_items,
 )
@@ -343,6 +350,8 @@ SELECT (SELECT count(*) FROM vocab WHERE idf >= {P.HIGH_IDF}) AS rare_vocab_size
     "list_faults": "SELECT ''::VARCHAR AS checklist, 0::BIGINT AS item_id, ''::VARCHAR AS view, 0::BIGINT AS n, 0::BIGINT AS ids, 0 AS low, 0 AS high, 0::BIGINT AS ranks, 0::BIGINT AS marks WHERE false",
     "cosine_ranking": f"""SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, chunk_id)::INT AS rank, round(s, 4) AS score
 FROM (SELECT a.vec_id AS item_id, b.vec_id AS chunk_id, {_COSINE} AS s FROM embeddings a, embeddings b WHERE a.vec_id < {SEMANTIC_ITEMS})""",
+    "cosine_ranking_items": f"""SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, chunk_id)::INT AS rank, round(s, 4) AS score
+FROM (SELECT a.vec_id AS item_id, b.vec_id AS chunk_id, {_COSINE} AS s FROM embeddings a SEMI JOIN benchmark ON item_id = a.vec_id, embeddings b)""",
     "rrf_fusion": f"""WITH {_corpus_sql("SELECT doc_id AS chunk_ord, text FROM documents JOIN embeddings ON doc_id = vec_id")}, {_keyword_sql("SELECT item_id, text FROM benchmark JOIN embeddings ON item_id = vec_id")},
 sem AS (SELECT i.item_id, c.chunk_ord, row_number() OVER (PARTITION BY i.item_id ORDER BY round({_COSINE}, 6) DESC, c.chunk_ord) AS rank
   FROM it i JOIN embeddings a ON a.vec_id = i.item_id CROSS JOIN c JOIN embeddings b ON b.vec_id = c.chunk_ord),

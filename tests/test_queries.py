@@ -27,3 +27,10 @@ def test_entry():
 
     assert set(registry.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_cosine_ranking_has_every_item_with_a_vector(spark):
+    read = lambda t: spark.read.parquet(f"{DATA}/{SF}/{t}.parquet")
+    want = {r[0] for r in read("benchmark").select("item_id").collect()} & {r[0] for r in read("embeddings").select("vec_id").collect()}
+    got = registry.queries()["cosine_ranking_items"](spark, f"{DATA}/{SF}").groupBy("item_id").count().collect()
+    assert {r["item_id"] for r in got} == want and {r["count"] for r in got} == {read("embeddings").count()}
