@@ -196,6 +196,13 @@ def heading_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("s", X.heading_shape(F.col("text"))).select("doc_id", "s.clause_no", "s.clause_title", F.col("s").isNotNull().alias("numbered"))
 
 
+def heading_shape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As heading_shape, for every line of a document."""
+    number = F.concat((F.col("doc_id") % 40).cast("string"), F.when(F.col("doc_id") % 3 == 0, ". ").otherwise(" "))
+    shaped = _lines(spark, sf_dir).withColumn("s", X.heading_shape(F.concat(number, F.col("text"))))
+    return shaped.select("doc_id", "line", "s.clause_no", "s.clause_title", F.col("s").isNotNull().alias("numbered"))
+
+
 def footer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line") % 3 == 2, F.format_string("Page %d of 9", F.col("line") + 1)).otherwise(F.col("text")))
     y1 = 800.0 - (F.col("doc_id") % 200)
@@ -286,7 +293,7 @@ def checklist_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     keyword_ranking, keyword_ranking_parts, token_store, rare_terms, gate, gate_grounding, zero_pass, full_list_check, list_faults, cosine_ranking, cosine_ranking_items, rrf_fusion, hydrate_mapping, slider_pool,
-    default_floor, shown_candidates, segment_carry_forward, stitch_islands, paragraph_split, dedup_suffix, column_gap_threshold, heading_shape, footer_filter, parenthetical, next_kind_lookahead,
+    default_floor, shown_candidates, segment_carry_forward, stitch_islands, paragraph_split, dedup_suffix, column_gap_threshold, heading_shape, heading_shape_lines, footer_filter, parenthetical, next_kind_lookahead,
     table_serialise, empty_verdict, uniqueness_check, key_check, chunk_tree, line_coverage, checklist_items,
 )
 
@@ -382,6 +389,10 @@ SELECT p_brand AS checklist, n, round(y - x, 4) AS gap, round((x + y) / 2, 4) AS
 m AS (SELECT doc_id, regexp_extract(text, '{P.NUMBERED}', 1) AS a, regexp_extract(text, '{P.NUMBERED}', 2) AS title, regexp_extract(text, '{P.NUMBERED_PERIOD}', 1) AS p, regexp_extract(text, '{P.NUMBERED_PERIOD}', 2) AS pt FROM t),
 w AS (SELECT *, a <> '' AS x, a = '' AND p <> '' AND len(regexp_split_to_array(trim(pt), '\\s+')) <= {P.PERIOD_TITLE_WORDS} AS y FROM m)
 SELECT doc_id, CASE WHEN x THEN a WHEN y THEN p END AS clause_no, CASE WHEN x THEN trim(title) WHEN y THEN trim(pt) END AS clause_title, x OR y AS numbered FROM w""",
+    "heading_shape_lines": f"""WITH {_LINES}, t AS (SELECT doc_id, line, (doc_id % 40) || CASE WHEN doc_id % 3 = 0 THEN '. ' ELSE ' ' END || text AS text FROM lines),
+m AS (SELECT doc_id, line, regexp_extract(text, '{P.NUMBERED}', 1) AS a, regexp_extract(text, '{P.NUMBERED}', 2) AS title, regexp_extract(text, '{P.NUMBERED_PERIOD}', 1) AS p, regexp_extract(text, '{P.NUMBERED_PERIOD}', 2) AS pt FROM t),
+w AS (SELECT *, a <> '' AS x, a = '' AND p <> '' AND len(regexp_split_to_array(trim(pt), '\\s+')) <= {P.PERIOD_TITLE_WORDS} AS y FROM m)
+SELECT doc_id, line, CASE WHEN x THEN a WHEN y THEN p END AS clause_no, CASE WHEN x THEN trim(title) WHEN y THEN trim(pt) END AS clause_title, x OR y AS numbered FROM w""",
     "footer_filter": f"""WITH {_LINES}, t AS (SELECT doc_id, CASE WHEN line % 3 = 2 THEN 'Page ' || (line + 1) || ' of 9' ELSE text END AS text FROM lines)
 SELECT doc_id, count(*) AS kept FROM t WHERE NOT (doc_id % 200 <= {P.FOOTER_BAND} AND regexp_matches(text, '(?i){_FOOTER}')) GROUP BY doc_id""",
     "parenthetical": f"""WITH {_LINES} SELECT doc_id, count(*) AS n FROM lines WHERE regexp_matches(CASE WHEN line % 2 = 0 THEN '(' || text || ')' ELSE text END, '{P.PARENTHETICAL}') GROUP BY doc_id""",
