@@ -25,6 +25,8 @@ LEAST = 0.8
 SAMPLED = 3
 MOST_TABLES = 64
 WALKS = 4
+#: In place of a walk's number: every step moves on.
+ALL = -1
 #: Steps that the sampled positions of one hash lie within; the spans lie anywhere on an item's walk.
 SPAN = 15
 #: Random edits of each item, and edits in one place, by which the chance of a shared hash is measured; items that are measured together.
@@ -149,7 +151,8 @@ def build(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, r
     chance is measured: TRIALS random edits of each item, and as many with all edits at the head,
     in the middle or at the tail, stand between other words and are searched, and hashes are
     added to a class until the share of trials that meet their item in some hash is `recall` for
-    the random edits and for each place, and LEAST of that for each item, or there are MOST_TABLES.
+    the random edits and for each place, and LEAST of that for each item. A class that MOST_TABLES
+    don't bring so far, and items too short for any edit, are looked up by pieces, which miss nothing.
     """
     rng = np.random.default_rng(seed)
     words: dict[str, int] = {}
@@ -159,8 +162,9 @@ def build(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, r
         raise ValueError(f"the benchmark has more than {MOST_WORDS} words; split it and run each part")
     numbered = [np.array([words.setdefault(x, len(words) + 1) for x in w], np.int64) for _, w in texts]
     classes: dict[int, list[int]] = {}
+    whole: list[int] = []  # items of pieces
     for k, x in enumerate(numbered):
-        classes.setdefault(length_class(len(x)), []).append(k)
+        (classes.setdefault(length_class(len(x)), []) if edits_allowed(len(x), similarity) else whole).append(k)
     # half of the steps move on, so a walk over n words has about 2n steps
     reach = {c: max(SAMPLED, 2 * min(len(numbered[k]) for k in ks)) for c, ks in classes.items()}
     blocks = (max(reach.values(), default=1) + 63) // 64
@@ -174,10 +178,29 @@ def build(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, r
             places = share(n, lambda m: [m[:, kinds == k] for k in np.unique(kinds)])
             if places.min() >= recall and share(n, list).min() >= LEAST * recall:
                 break
+        else:
+            whole += ks
         index.tables += tables[:n]
+    index.tables += _pieces(index, whole, similarity)
     return index
 
 
+def _pieces(index: Index, items: list[int], similarity: float) -> list[Table]:
+    """Tables of pieces of items, one more than edits are allowed: some piece of a leak has no edit. Their walk always moves on."""
+    of_size: dict[int, list[tuple[int, int]]] = {}
+    for k in items:
+        n = len(index.items[k])
+        cuts = np.linspace(0, n, edits_allowed(n, similarity) + 2).astype(np.int64).tolist()
+        for a, z in zip(cuts, cuts[1:]):
+            of_size.setdefault(z - a, []).append((k, a))
+    found = []
+    for size, pieces in sorted(of_size.items()):
+        of, at = (np.array(c, np.int64) for c in zip(*pieces))
+        keys = np.array([index.items[k][a : a + size] for k, a in pieces], np.int64)
+        found.append(Table(ALL, list(range(size)), of, keys, at))
+    return found
+
+
 def _tables(index: Index, items: list[int], reach: int, rng: np.random.Generator) -> list[Table]:
     own = [[_pointers(index.items[k], b, reach) for k in items] for b in index.bits]
     found = []
@@ -254,6 +277,8 @@ class Walker:
             blocks: dict[int, np.ndarray] = {}
 
             def moved(at: np.ndarray, step: int) -> np.ndarray:
+                if walk == ALL:
+                    return np.minimum(at + 1, len(symbols))
                 if step >> 6 not in blocks:
                     bits = self.index.bits[walk, step >> 6].copy()
                     bits[self.index.wall] = 0

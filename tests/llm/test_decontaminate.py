@@ -151,3 +151,21 @@ def test_passage_without_its_head_at_the_head_of_a_text(spark):
     texts = [" ".join(D.words_of(t)[D.edits_allowed(len(D.words_of(t))) :]) for _, t in items]
     got = {(k, i) for k, i, *_ in D.Finder(D.build(items)).leaks(texts)}
     assert sum((k, i) in got for k, (i, _) in enumerate(items)) >= 0.95 * len(items)
+
+
+def test_short_items_beside_long_ones(spark):
+    items = sorted((r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/sf0.1/benchmark.parquet").collect())
+    short = [(1000, "kappa"), (1001, "lambda kappa"), (1002, "mu nu xi"), (1003, "mu nu xi kappa")]
+    finder = D.Finder(D.build([*items, *short]))
+    got = {(k, i) for k, i, *_ in finder.leaks([f"before {t} after" for _, t in short])}
+    assert got == {(0, 1000), (1, 1000), (1, 1001), (2, 1002), (3, 1000), (3, 1002), (3, 1003)}
+
+
+def test_items_that_hashes_do_not_reach_are_found_by_pieces(monkeypatch):
+    rng = random.Random(2)
+    items = [(i, " ".join(f"k{rng.randrange(900)}" for _ in range(rng.randint(5, 60)))) for i in range(60)]
+    monkeypatch.setattr(D, "MOST_TABLES", 1)
+    finder = D.Finder(D.build(items))
+    texts = [" ".join(["x y z", *edited(t.split(), D.edits_allowed(len(t.split())), rng), "x y z"]) for _, t in items]
+    got = {(k, i) for k, i, *_ in finder.leaks(texts)}
+    assert all((k, i) in got for k, (i, _) in enumerate(items))
