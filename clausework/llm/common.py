@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests
-    on one machine) a temporary folder takes its place.
+    A cluster names it in spark.checkpoint.dir. Only where that is unset and the
+    master is this machine (tests) a temporary folder takes its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clausework-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -34,6 +37,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as Parquet in the shared folder and read from there: smaller than cut(), and pruned by column."""
+    out = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return df.sparkSession.read.parquet(out)
+
+
+#: A key with more than one of so many rows is dealt over several tasks.
+PARTS = 4096
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], spread: list[str], parts: int = PARTS) -> DataFrame:
+    """rows joined with counted on keys; counted has one row for each key, and `n`, the number of its rows.
+
+    A key of very many rows is dealt over as many tasks as its share asks for, by
+    a hash of `spread`, and its one row of counted goes to all of them. Fewer
+    than `parts` keys can have more than one of `parts` rows, so the list of these
+    is broadcast, however large the input.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    share = -(-total // parts) or 1
+    hot = counted.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    sent = counted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / share), F.lit(1)).cast("int") - 1))).drop("n")
+    return dealt.join(sent, [*keys, "_part"]).drop("_part")
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.llm.common import MAX_LONG, cut, read
+from clausework.llm.common import MAX_LONG, cut, join_counted, read
 
-#: Lines that the rolling hash spans, and one boundary for about so many of its values.
+#: Lines that the rolling hash spans; a chunk ends at BOUNDARIES of EVERY of its values, and after MOST lines.
 WINDOW = 2
-EVERY = 4
-#: Chunks of fewer lines are left alone.
+BOUNDARIES, EVERY = 3, 4
+MOST = 16
+#: Repeated parts of fewer lines are left alone.
 MIN_LINES = 2
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def line_chunks(lines: list[bytes], window: int = WINDOW, every: int = EVERY) -> list[tuple[int, int]]:
+def line_chunks(lines: list[bytes], window: int = WINDOW) -> list[tuple[int, int]]:
     """(first line, number of lines) of each chunk of a text.
 
     A hash rolls over the hashes of the last `window` lines; a chunk ends where
-    its top bits fall into one of `every` parts, and at the end of the text. So a
-    boundary depends on `window` lines only, and inserted lines move no other.
+    its top bits fall into BOUNDARIES of EVERY parts, after MOST lines, and at the
+    end of the text. So a boundary depends on `window` lines only, and inserted
+    lines move no other.
     """
     found, first, rolled = [], 0, 0
     top = pow(_MULTIPLIER, window, 1 << 64)
@@ -36,7 +36,7 @@ def line_chunks(lines: list[bytes], window: int = WINDOW, every: int = EVERY) ->
         rolled = (rolled * _MULTIPLIER + h) & _MASK
         if i >= window:
             rolled = (rolled - hashes[i - window] * top) & _MASK
-        if (rolled >> 32) % every == 0:
+        if (rolled >> 32) % EVERY < BOUNDARIES or i + 1 - first == MOST:
             found.append((first, i + 1 - first))
             first = i + 1
     if first < len(lines):
@@ -44,12 +44,30 @@ def line_chunks(lines: list[bytes], window: int = WINDOW, every: int = EVERY) ->
     return found
 
 
-def chunk_rows(docs: DataFrame, with_text: bool, min_lines: int = MIN_LINES) -> DataFrame:
-    """id, key (of the text), line, lines, h1, h2 of the chunks of `min_lines` lines or more of every text; with_text: and their bytes."""
+def pieces(lines: list[bytes], min_lines: int = MIN_LINES) -> list[tuple[int, int]]:
+    """(first line, number of lines) of the parts of a text that are looked up, all of `min_lines` lines or more.
+
+    These are its chunks, their beginnings and their ends, and `min_lines` lines
+    across each boundary. A run of lines that two texts share need not begin and
+    end at boundaries: it is the end of a chunk, whole chunks, and the beginning
+    of one, and where two of them meet there are the lines across.
+    """
+    found = set()
+    chunks = line_chunks(lines)
+    for at, n in chunks:
+        found |= {(at, k) for k in range(min_lines, n + 1)}
+        found |= {(at + n - k, k) for k in range(min_lines, n + 1)}
+    for at, _ in chunks[1:]:
+        found |= {(k, min_lines) for k in range(max(0, at - min_lines + 1), min(at, len(lines) - min_lines + 1))}
+    return sorted(found)
+
+
+def piece_rows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """id, key (of the text), line, lines, h1, h2 of the pieces of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "key", "line", "lines", "h1", "h2", *["body"] * with_text]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * with_text]
+        names = ["id", "key", "line", "lines", "h1", "h2"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
@@ -59,129 +77,85 @@ def chunk_rows(docs: DataFrame, with_text: bool, min_lines: int = MIN_LINES) ->
                     if not data or b"\n" not in data:
                         continue
                     lines = data.split(b"\n")
-                    for line, n in line_chunks(lines):
-                        if n >= min_lines:
-                            body = b"\n".join(lines[line : line + n])
-                            h = xxhash.xxh3_128_intdigest(body)
-                            rows.append((doc_id, key, line, n, (h >> 64) - (1 << 63), (h & _MASK) - (1 << 63), *[body] * with_text))
+                    for line, n in pieces(lines, min_lines):
+                        h = xxhash.xxh3_128_intdigest(b"\n".join(lines[line : line + n]))
+                        rows.append((doc_id, key, line, n, (h >> 64) - (1 << 63), (h & _MASK) - (1 << 63)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    used = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)), _key(), "text")
-    return used.mapInArrow(run, "id long, key long, line int, lines int, h1 long, h2 long" + ", body binary" * with_text)
+    used = docs.select(_id().alias("id"), _key().alias("key"), "text")
+    return used.mapInArrow(run, "id long, key long, line int, lines int, h1 long, h2 long")
 
 
-def _key() -> Column:
-    return F.xxhash64("doc_id", "text")
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG))
 
 
-def repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """id, key, line, lines, keeper of the chunks that an earlier chunk repeats byte for byte.
-
-    Chunks with the same bytes are kept once, at the smallest (doc_id, text key,
-    line), and are repeated elsewhere. Digests that occur once are dropped before
-    any text moves; the bytes of the others are compared by their smallest and
-    largest value for each digest, two partial aggregates. Digests whose bytes
-    differ (none is known to exist) take the bytes themselves as their key.
-    """
-    small = chunk_rows(docs, with_text=False, min_lines=min_lines)
-    places = small.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("z"), F.min("line").alias("l0"), F.max("line").alias("l1"))
-    often = cut(places.where("n > 1 AND (a < z OR l0 < l1)").select("h1", "h2"))
-    bodies = chunk_rows(docs, with_text=True, min_lines=min_lines).join(often, ["h1", "h2"], "left_semi")
-    compared = bodies.groupBy("h1", "h2").agg(F.min("body").alias("low"), F.max("body").alias("high"))
-    compared = cut(compared.select("h1", "h2", (F.col("low") == F.col("high")).alias("same")))
-    rows = small.join(compared.where("same").select("h1", "h2"), ["h1", "h2"])
-    ids = ["h1", "h2"]
-    found = _after_first(rows, ids)
-    odd = compared.where("NOT same").select("h1", "h2")
-    if odd.take(1):
-        other = chunk_rows(docs, with_text=True, min_lines=min_lines).join(odd, ["h1", "h2"])
-        found = found.unionByName(_after_first(other, [*ids, "body"]))
-    return found
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
-def _after_first(rows: DataFrame, same: list[str]) -> DataFrame:
-    """Of rows alike in `same`, those after the first by (id, key, line) that share no line with it."""
-    first = rows.groupBy(*same).agg(F.min("id").alias("keeper"))
-    of_keeper = rows.join(first, same)
-    # within the keeping document the first text and line stay
-    own = of_keeper.where("id = keeper").groupBy(*same).agg(F.min(F.struct("key", "line")).alias("stays"))
-    met = of_keeper.join(own, same)
-    apart = (F.col("key") != F.col("stays.key")) | (F.col("line") >= F.col("stays.line") + F.col("lines"))
-    return met.where((F.col("id") != F.col("keeper")) | apart).select("id", "key", "line", "lines", "keeper").distinct()
+def _bodies(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """met (id, key, line, lines, ...) with `body`, the piece itself; one text for each id and key."""
+    wanted = met.groupBy("id", "key").agg(F.collect_set(F.struct(*[c for c in met.columns if c not in ("id", "key")])).alias("_met"))
+    texts = docs.select(_id().alias("id"), _key().alias("key"), F.col("text").alias("_text"))
+    split = wanted.join(texts, ["id", "key"]).select("id", "key", F.split("_text", "\n").alias("_lines"), F.explode("_met").alias("m"))
+    body = F.array_join(F.slice("_lines", F.col("m.line") + 1, F.col("m.lines")), "\n")
+    return split.select("id", "key", "m.*", body.alias("body"))
 
 
-def window_rows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """id, key (of the text), line, lines, h1, h2 of every window of `min_lines` lines of every text.
+def repeated_pieces(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """id, key, line, lines, keeper of the pieces that an earlier piece repeats byte for byte.
 
-    A run of that many lines or more is the union of its windows, wherever it
-    begins and ends. h1 and h2 are 128 bits of BLAKE2b over those of the lines,
-    so no two windows that differ are known to share them and none can be made to.
+    Pieces with the same bytes are kept once, at the smallest (doc_id, text key,
+    line), and are repeated elsewhere, if they share no line with that place.
+    Digests that stand at one place are dropped before any text moves; the bytes
+    of the others are compared by their smallest and largest value for each
+    digest, two partial aggregates. Digests whose bytes differ (none is known to
+    exist) take the bytes themselves as their key. A piece of very many texts is
+    dealt over several tasks wherever its rows are joined.
     """
-
-    def digest(data: bytes) -> bytes:
-        return hashlib.blake2b(data, digest_size=16).digest()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "key", "line", "lines", "h1", "h2"]
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                found, counts = [], []
-                for text in b.column(2).cast(pa.binary()):
-                    data = text.as_py()
-                    hashes = [digest(x) for x in data.split(b"\n")] if data else []
-                    counts.append(max(0, len(hashes) - min_lines + 1))
-                    found += [digest(b"".join(hashes[i : i + min_lines])) for i in range(counts[-1])]
-                if found:
-                    of = np.repeat(np.arange(b.num_rows), counts)
-                    line = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-                    h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-                    columns = [b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), line.astype(np.int32), np.full(len(of), min_lines, np.int32), h[:, 0], h[:, 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    used = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)), _key(), "text")
-    return used.mapInArrow(run, "id long, key long, line int, lines int, h1 long, h2 long")
-
-
-def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """id, key, line, lines, keeper of the windows that an earlier window repeats; digests that occur once are dropped first."""
-    places = window_rows(docs, min_lines).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("z"), F.min("line").alias("l0"), F.max("line").alias("l1"), F.min("key").alias("k0"), F.max("key").alias("k1"))
-    often = cut(places.where("n > 1 AND (a < z OR l0 < l1 OR k0 < k1)").select("h1", "h2"))
-    return _after_first(cut(window_rows(docs, min_lines).join(often, ["h1", "h2"])), ["h1", "h2"])
+    ids = ["h1", "h2"]
+    place = F.struct("id", "key", "line")
+    small = cut(piece_rows(docs, min_lines))
+    seen = small.groupBy(*ids).agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+    often = cut(seen.where("first < last").select(*ids, "n", "first"))
+    met = cut(join_counted(small, often, ids, ["id", "key"]).distinct())
+    compared = _bodies(docs, met.select("id", "key", "line", "lines", *ids)).groupBy(*ids).agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    odd = cut(compared.where("low <> high").select(*ids))
+    if odd.isEmpty():
+        return _after_first(met)
+    others = _bodies(docs, met.drop("first").join(odd, ids, "left_semi"))
+    firsts = others.groupBy(*ids, "body").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    apart = join_counted(others, firsts, [*ids, "body"], ["id", "key"]).drop("body")
+    return _after_first(met.join(odd, ids, "left_anti").unionByName(apart))
+
+
+def _after_first(rows: DataFrame) -> DataFrame:
+    """Of rows with the first place of their bytes, those elsewhere that share no line with it."""
+    elsewhere = (F.col("id") != F.col("first.id")) | (F.col("key") != F.col("first.key")) | (F.col("line") >= F.col("first.line") + F.col("lines"))
+    return rows.where(elsewhere).select("id", "key", "line", "lines", F.col("first.id").alias("keeper"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, stats: bool = False) -> DataFrame:
-    """docs without the multi-line chunks that another place has already.
-
-    Every row stays, with its columns; text loses the repeated chunks, and
-    n_chars, if there is such a column, becomes the length of what is left. The
-    place that keeps a chunk is that of the smallest doc_id, and there the first.
-    A chunk of one line is never removed. Null and empty texts are unchanged, a
-    null doc_id comes after all others, and rows equal in doc_id and text are
-    treated as one document. stats adds n_lines, n_removed and first_doc_id (the
+    """docs without the chunks and parts of chunks, of `min_lines` lines or more, that another place has already.
+
+    Every row stays, with its columns; text loses the lines of all repeated
+    pieces (see pieces()), and n_chars, if there is such a column, becomes the
+    length of what is left. The place that keeps a piece is that of the smallest
+    doc_id (of equal ids, the smallest hash of the text), and there the first;
+    within a text the two may not overlap, so a line that stands four times in a
+    row is left twice. Single lines are never removed. Null and empty texts are
+    unchanged, a null doc_id comes after all others, and rows equal in doc_id and
+    text are treated as one document; texts that share a doc_id, or have none, are
+    documents of their own. stats adds n_lines, n_removed and first_doc_id (the
     smallest keeper; null if nothing was removed). An empty table gives no rows.
     """
-    return _without(docs, repeated_chunks(docs, min_lines), stats)
-
-
-def drop_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, stats: bool = False) -> DataFrame:
-    """docs without the runs of `min_lines` lines or more that an earlier place has already.
-
-    As drop_repeated_lines(), but a run may begin and end at any line: a line goes
-    if it lies in `min_lines` consecutive lines that stand at an earlier place of
-    docs as they were given. Within a text that place must not overlap, so a line
-    that stands four times in a row is left twice. Runs of empty lines count as
-    any others.
-    """
-    return _without(docs, repeated_windows(docs, min_lines), stats)
-
-
-def _without(docs: DataFrame, found: DataFrame, stats: bool) -> DataFrame:
-    by_text = found.groupBy("id", "key").agg(F.collect_list(F.struct("line", "lines")).alias("_cuts"), F.min("keeper").alias("_keeper"))
+    found = repeated_pieces(docs, min_lines)
+    by_text = found.groupBy("id", "key").agg(F.collect_set(F.struct("line", "lines")).alias("_cuts"), F.min("keeper").alias("_keeper"))
     by_text = by_text.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "_cuts", "_keeper")
     # the row's own columns stay apart from those used here, whatever they are called
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)).alias("_id"), _key().alias("_key"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), _id().alias("_id"), _key().alias("_key"))
     met = keyed.join(by_text, ["_id", "_key"], "left")
     gone = F.array_distinct(F.flatten(F.transform("_cuts", lambda c: F.sequence(c["line"], c["line"] + c["lines"] - 1))))
     met = met.withColumns({"_gone": F.when(F.col("_cuts").isNotNull(), gone), "_lines": F.split("row.text", "\n")})
@@ -200,14 +174,5 @@ def _without(docs: DataFrame, found: DataFrame, stats: bool) -> DataFrame:
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return _shown(drop_repeated_lines(docs, stats=True))
-
-
-def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_lines for every repeated run of lines, not only for repeated chunks."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return _shown(drop_repeated_runs(docs, stats=True))
-
-
-def _shown(done: DataFrame) -> DataFrame:
+    done = drop_repeated_lines(docs, stats=True)
     return done.select("doc_id", "n_lines", "n_removed", "first_doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))

@@ -2,23 +2,38 @@ from __future__ import annotations
 
 import random
 
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
 from clausework.llm import lines
+from clausework.llm.common import join_counted
 from tests.conftest import DATA
 from tests.llm.helpers import awkward_texts, clashing, documents
 
 
-def by_hand(texts):
-    """texts in order of id, without the chunks that an earlier place has."""
-    seen, out = set(), []
-    for t in texts:
-        ls, keep = (t or "").split("\n"), []
-        for at, n in lines.line_chunks([x.encode() for x in ls]):
-            body = "\n".join(ls[at : at + n])
-            if n > 1 and body in seen:
-                continue
-            seen.add(body)
-            keep += ls[at : at + n]
-        out.append("\n".join(keep) if t is not None else None)
+def by_hand(texts, least=2):
+    """texts in order of id, without the pieces that an earlier place has."""
+    first, out = {}, []
+    for k, t in enumerate(texts):
+        ls, gone = (t or "").split("\n"), set()
+        for at, n in lines.pieces([x.encode() for x in ls], least) if t else []:
+            p, q = first.setdefault(tuple(ls[at : at + n]), (k, at))
+            if p < k or q + n <= at:
+                gone |= set(range(at, at + n))
+        out.append("\n".join(x for i, x in enumerate(ls) if i not in gone) if t is not None else None)
+    return out
+
+
+def runs_by_hand(texts, least=2):
+    """The same for every run of lines that an earlier place has: lines are compared, and no chunks are made."""
+    first, out = {}, []
+    for k, t in enumerate(texts):
+        ls, gone = (t or "").split("\n"), set()
+        for i in range(len(ls) - least + 1):
+            at = first.setdefault(tuple(ls[i : i + least]), (k, i))
+            if at[0] < k or at[1] + least <= i:
+                gone |= set(range(i, i + least))
+        out.append("\n".join(x for i, x in enumerate(ls) if i not in gone) if t is not None else None)
     return out
 
 
@@ -29,7 +44,8 @@ def test_chunks_cover_all_lines_and_resist_shifts():
     assert [a for a, _ in got] == [0, *(a + n for a, n in got[:-1])] and sum(n for _, n in got) == 300
     moved = {a - 2 for a, _ in lines.line_chunks([b"x", b"y", *ls])}
     assert len({a for a, _ in got} & moved) >= len(got) - 2
-    assert 2 < 300 / len(got) < 7
+    assert 1.2 < 300 / len(got) < 1.5 and max(n for _, n in got) <= lines.MOST
+    assert max(n for _, n in lines.line_chunks([b"same"] * 1000)) <= lines.MOST
     assert lines.line_chunks([]) == []
 
 
@@ -67,50 +83,57 @@ def test_awkward_rows(spark):
 
 
 def test_digests_that_collide_are_told_apart(spark, monkeypatch):
-    rng = random.Random(7)
-    a, b = ("\n".join(str(rng.random()) for _ in range(30)) for _ in range(2))
-    rows = spark.createDataFrame([(1, 0, 0, 2, 7, 7, b"p"), (2, 0, 0, 2, 7, 7, b"q"), (3, 0, 0, 2, 7, 7, b"p")], "id long, key long, line int, lines int, h1 long, h2 long, body binary")
-    monkeypatch.setattr(lines, "chunk_rows", lambda docs, with_text, min_lines=2: rows if with_text else rows.drop("body"))
-    got = lines.repeated_chunks(documents(spark, [a, b, a]))
-    assert [(r["id"], r["keeper"]) for r in got.collect()] == [(3, 1)]
-
-
-def runs_by_hand(texts, least=2):
-    """texts in order of id, without the lines of runs that an earlier place has; compares lines, not chunks."""
-    first, out = {}, []
-    for k, t in enumerate(texts):
-        ls, gone = (t or "").split("\n"), set()
-        for i in range(len(ls) - least + 1):
-            at = first.setdefault(tuple(ls[i : i + least]), (k, i))
-            if at[0] < k or at[1] + least <= i:
-                gone |= set(range(i, i + least))
-        out.append("\n".join(x for i, x in enumerate(ls) if i not in gone) if t is not None else None)
-    return out
+    docs = documents(spark, ["p1\np2", "q1\nq2", "p1\np2\nz"], [1, 2, 3])
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("key"), F.lit(0).alias("line"), F.lit(2).alias("lines"), F.lit(7).cast("long").alias("h1"), F.lit(7).cast("long").alias("h2"))
+    monkeypatch.setattr(lines, "piece_rows", lambda docs, min_lines=2: rows)
+    assert [(r["id"], r["keeper"]) for r in lines.repeated_pieces(docs).collect()] == [(3, 1)]
 
 
-def test_runs_against_brute_force_over_lines(spark):
-    import hashlib
-
-    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect())
-    want = runs_by_hand([t for _, t in docs])
-    got = {r["doc_id"]: r for r in lines.op8_line_runs(spark, f"{DATA}/sf0.01").collect()}
-    assert len(got) == len(docs)
-    assert all(got[i]["text_sha256"] == hashlib.sha256(w.encode()).hexdigest() for (i, _), w in zip(docs, want))
-
-
-def test_short_runs_in_the_middle_of_different_texts(spark):
+def test_runs_of_lines_are_found_wherever_they_begin_and_end(spark):
     rng = random.Random(3)
     some = lambda n: [str(rng.random()) for _ in range(n)]
-    shared = [some(n) for n in (2, 3, 4, 8)]
-    texts = ["\n".join([*some(5), *shared[k % 4], *some(6)]) for k in range(40)] + ["x\ny\nx\ny\nx", "a\na\na\na", "x\nq"]
-    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_runs(documents(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == runs_by_hand(texts)
-    assert all(len(got[k].split("\n")) == 11 for k in range(4, 40)) and got[41] == "a\na" and got[42] == "x\nq"
-    assert lines.drop_repeated_runs(documents(spark, texts), min_lines=3).where("doc_id = 4").first()["text"] == texts[4]
-
-
-def test_runs_of_texts_that_share_an_id(spark):
-    texts = ["p\nq\nr", "p\nq\ns", "p\nq\nt"]
-    for ids in ([1, 1, 1], [None, None, None]):
-        got = [r["text"] for r in lines.drop_repeated_runs(documents(spark, texts, ids)).collect()]
-        assert sorted(map(len, got)) == [1, 1, 5]
+    lost = total = 0
+    texts = []
+    for n in (2, 3, 4, 8):
+        for _ in range(40):
+            run = some(n)
+            texts += ["\n".join([*some(rng.randrange(6)), *run, *some(rng.randrange(6))]) for _ in range(2)]
+    for t, w, all_ in zip(texts, by_hand(texts), runs_by_hand(texts)):
+        total += len(t) - len(all_)
+        lost += len(w) - len(all_)
+        assert len(w) >= len(all_)
+    assert lost <= 0.1 * total
+    texts += ["x\ny\nx\ny\nx", "a\na\na\na", "x\nq"]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == by_hand(texts) and got[len(texts) - 2] == "a\na" and got[len(texts) - 1] == "x\nq"
+    three = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(documents(spark, texts), min_lines=3).collect()}
+    assert [three[i] for i in range(len(texts))] == by_hand(texts, 3) and three[1] == texts[1]
+
+
+def test_share_of_all_repeated_runs():
+    docs = sorted((r["doc_id"], r["text"]) for r in pq.read_table(f"{DATA}/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist())
+    texts = [t for _, t in docs]
+    removed = [sum(len(t.split("\n")) - len(w.split("\n")) for t, w in zip(texts, f(texts))) for f in (by_hand, runs_by_hand)]
+    assert 0.95 * removed[1] <= removed[0] <= removed[1]
+
+
+def test_null_and_equal_ids_and_repeated_rows(spark):
+    rng = random.Random(9)
+    block = "\n".join(str(rng.random()) for _ in range(40))
+    texts = [f"a{i}\n{block}\nz{i}" for i in range(4)]
+    for ids in ([1, 2, 3, 4], [None] * 4, [7] * 4, [5, None, 5, None]):
+        for times in (1, 2, 3):
+            got = [r["text"] for r in lines.drop_repeated_lines(documents(spark, texts * times, ids * times)).collect()]
+            assert len(got) == 4 * times and sorted(map(len, set(got)))[-1] == len(texts[0])
+            assert sum(t in texts for t in got) == times and all(t.count("\n") <= 4 for t in got if t not in texts)
+
+
+def test_a_very_common_piece_is_dealt_over_tasks(spark):
+    texts = [f"{i}\ncommon one\ncommon two\n{i} end" for i in range(500)]
+    small = lines.piece_rows(documents(spark, texts))
+    counted = small.groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    met = join_counted(small, counted, ["h1", "h2"], ["id", "key"], parts=50)
+    assert met.count() == small.count()
+    big = counted.orderBy(F.desc("n")).first()
+    parts = small.where((F.col("h1") == big["h1"]) & (F.col("h2") == big["h2"])).select(F.pmod(F.xxhash64("id", "key"), F.lit(8)).alias("p")).groupBy("p").count().collect()
+    assert big["n"] == 500 and max(r["count"] for r in parts) < 120
