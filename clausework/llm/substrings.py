@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clausework.llm.common import MAX_LONG, read
+from clausework.llm.common import MAX_LONG, cut, join_counted, read, stored
 
 #: A boundary follows a byte whose hash is the highest of this many bytes on either side.
 REACH = 24
@@ -109,33 +109,40 @@ def chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
-    """doc_id, start, length (bytes of UTF-8), words, first_doc_id: spans that a text with a smaller doc_id has.
-
-    A chunk is a duplicate if another doc_id has the same bytes (128-bit digest)
-    in its text; the smallest doc_id keeps it, in all others it is reported.
-    Adjacent duplicate chunks are one span; its first_doc_id is the smallest
-    keeper of its chunks; spans under `min_words` words are left out. Null and
-    empty texts have no spans. Repetition within one text alone doesn't count, and rows
-    of equal doc_id share one decision. Null ids come after all others and give a
-    null doc_id. Other columns are ignored.
-
-    First the chunks are pre-aggregated on 64 bits of the digest, to the smallest
-    and largest doc_id; only what is left meets the rows again, in a join whose
-    hot keys can be split, and only there are the whole digests compared.
+    """doc_id, start, length (bytes of UTF-8), words, first_doc_id, doc_key: spans that stand at an earlier place too.
+
+    A chunk is a duplicate if the same bytes (128-bit digest) are a chunk at an
+    earlier place; places are in the order of doc_id, a hash of id and text, and
+    start, so the first place keeps it, and all later ones, in other texts or in
+    its own, are reported. Adjacent duplicate chunks are one span; its
+    first_doc_id is the smallest keeper of its chunks (its own doc_id, if it
+    stands in its own text only); spans under `min_words` words are left out.
+    Null and empty texts have no spans. Rows equal in doc_id and text are one
+    document; texts that share a doc_id, or have none, are documents of their
+    own. Null ids come after all others and are null in the result. doc_key is
+    the hash of id and text. Other columns are ignored; an empty table gives no
+    rows.
+
+    The digests are made once and kept in the shared folder. First the chunks are
+    counted by 64 bits of the digest; only what occurs more than once meets the
+    rows again, and only there whole digests are compared. Where rows are joined,
+    a chunk of very many texts is dealt over several tasks.
     """
-    rows = chunks(docs, reach)
-    often = rows.groupBy("h1").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("h1")
-    some = rows.join(often, "h1", "left_semi")
-    keeper = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"))
-    dup = some.join(keeper, ["h1", "h2"]).where("doc_id > keeper")
+    rows = stored(chunks(docs, reach))
+    often = rows.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1")
+    some = stored(join_counted(rows, cut(often), ["h1"], ["doc"]).distinct())  # equal rows are one
+    place = F.struct("doc_id", "doc", "start")
+    firsts = some.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    met = join_counted(some, cut(firsts), ["h1", "h2"], ["doc", "start"])
+    dup = met.where(F.struct("doc_id", "doc", "start") != F.col("first")).withColumn("keeper", F.col("first.doc_id"))
     order = Window.partitionBy("doc_id", "doc").orderBy("start")
     new = F.coalesce(F.lag(F.col("start") + F.col("length")).over(order) != F.col("start"), F.lit(True))
     spans = dup.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(order))
     found = spans.groupBy("doc_id", "doc", "span").agg(
         F.min("start").alias("start"), F.sum("length").alias("length"), F.sum("words").alias("words"), F.min("keeper").alias("first_doc_id")
     )
-    real = F.when(F.col("doc_id") < MAX_LONG, F.col("doc_id"))
-    return found.where(F.col("words") >= min_words).select(real.alias("doc_id"), F.col("start").cast("long"), "length", "words", "first_doc_id", F.col("doc").alias("doc_key"))
+    real = lambda c: F.when(F.col(c) < MAX_LONG, F.col(c))
+    return found.where(F.col("words") >= min_words).select(real("doc_id").alias("doc_id"), F.col("start").cast("long"), "length", "words", real("first_doc_id").alias("first_doc_id"), F.col("doc").alias("doc_key"))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
