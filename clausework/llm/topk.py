@@ -152,9 +152,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     x as double. A query isn't compared with rows of its own id; ties go to the
     smaller vec_id; if fewer rows remain, all are returned. Null vectors, those
     with null, NaN or infinite components and those with a null id take no part,
-    and a query meets vectors of its own length only. Repeated rows all count,
-    but of equal (score, vec_id) the order is that of equals. Other columns are
-    ignored; no usable row gives no rows.
+    and a query meets vectors of its own length only. Repeated rows of vectors all
+    count and take a rank each. Each id asks once, however often it is repeated:
+    with the smallest of its vectors. Other columns are ignored; no usable row
+    gives no rows.
 
     The index, bit slices of blocks of about BLOCK_ROWS rows, is written once to
     the shared folder. Blocks are dealt by position and not by value, so that
@@ -180,6 +181,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
         return pa.table({"dim": table.column("dim")[:1], "qids": [ids.tobytes()], "qs": [values.astype(np.int64).tobytes()]})
 
     blocks = cut(dealt(vectors, BLOCK_ROWS, "block").groupBy("dim", "block").applyInArrow(index, "dim int, block int, ids binary, lows binary, bits binary, words int"))
+    queries = queries.where(usable(F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asks = cut(dealt(queries, QUERIES, "ask").groupBy("dim", "ask").applyInArrow(asked, "dim int, qids binary, qs binary"))
     # every query block goes to every block of its length: an equi-join on (dim, block)
     where = blocks.groupBy("dim").agg(F.max("block").alias("last"))
@@ -211,7 +213,7 @@ WITH v AS (
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id % {EVERY} = 0 AND b.vec_id <> a.vec_id AND len(a.q) = len(b.q)
+  FROM (SELECT vec_id, min(q) AS q FROM v GROUP BY vec_id) a JOIN v b ON a.vec_id % {EVERY} = 0 AND b.vec_id <> a.vec_id AND len(a.q) = len(b.q)
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
