@@ -69,10 +69,10 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
 
 
 def with_node(df: DataFrame, url: str, name: str) -> DataFrame:
-    """df with what two spellings of one address share: lower-case scheme and host, no fragment; null without ://."""
+    """df with what two spellings of one address share: lower-case scheme and host, a path without . and .., no fragment; null without ://."""
     tmp = [f"_{name}{k}" for k in range(1, 5)]
     df = df.withColumns({t: F.regexp_extract(url, _URL, k + 1) for k, t in enumerate(tmp)})
-    path = F.when(F.col(tmp[2]) == "", F.lit("/")).otherwise(F.col(tmp[2]))
+    path = F.when(F.col(tmp[2]) == "", F.lit("/")).otherwise(without_dots(F.col(tmp[2])))
     node = F.when(F.col(tmp[0]) != "", F.concat(_lower(F.concat(tmp[0], tmp[1])), path, tmp[3]))
     return df.withColumn(name, node).drop(*tmp)
 
@@ -90,8 +90,18 @@ def targets(html: Column) -> Column:
     return F.filter(F.concat(F.transform(links, lambda t: _attribute(t, "href")), gone), lambda x: x != "")
 
 
+def without_dots(path: Column) -> Column:
+    """path without its segments . and .., each .. with the segment before it; a path that ends in one ends in /."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    step = lambda kept, p: F.when(p == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(p == ".", kept).otherwise(F.concat(kept, F.array(p)))
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), step)
+    folded = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return F.when(path.startswith("/") & path.rlike(r"/\.\.?(/|$)"), folded).otherwise(path)
+
+
 def resolve(df: DataFrame, base: str, href: str, name: str) -> DataFrame:
-    """df with href seen from base: absolute, //host, /path, ?query or relative to base's folder."""
+    """df with href seen from base: absolute, //host, /path, ?query or relative to base's folder; with_node() resolves . and .. in it."""
     df = df.withColumns({f"_{k}": F.regexp_extract(base, _URL, n) for n, k in ((1, "scheme"), (2, "host"), (3, "path"))})
     root, h = F.concat("_scheme", "_host"), F.col(href)
     folder = F.regexp_extract("_path", r"(?s)^(.*/)", 1)
@@ -165,9 +175,18 @@ def _sql_value(tag: str, name: str) -> str:
 
 
 _CONTENT = r"""(?is)^[^;,]*[;,]\s*(?:url\s*=\s*)?['"]?([^'"]*)""".replace("'", "''")
+_PATH = f"regexp_extract(%(u)s, '{_PATTERN}', 3)"
+#: The path without . and ..: a fold over its segments.
+_FOLDED = (
+    "list_reduce(string_split(" + _PATH + "[2:], '/'), lambda kept, p: CASE WHEN p = '..' THEN kept[:-2] WHEN p = '.' THEN kept ELSE list_append(kept, p) END, []::VARCHAR[])"
+)
+_CLEAN = (
+    "CASE WHEN " + _PATH + " = '' THEN '/' WHEN starts_with(" + _PATH + ", '/') AND regexp_matches(" + _PATH + ", '/\\.\\.?(/|$)') THEN '/' || array_to_string(" + _FOLDED + ", '/')"
+    " || CASE WHEN regexp_matches(" + _PATH + ", '/\\.\\.?$') AND len(" + _FOLDED + ") > 0 THEN '/' ELSE '' END ELSE " + _PATH + " END"
+)
 _NODE = (
     f"CASE WHEN regexp_extract(%(u)s, '{_PATTERN}', 1) <> '' THEN " + _AZ % f"regexp_extract(%(u)s, '{_PATTERN}', 1)" + " || " + _AZ % f"regexp_extract(%(u)s, '{_PATTERN}', 2)"
-    + f" || CASE WHEN regexp_extract(%(u)s, '{_PATTERN}', 3) = '' THEN '/' ELSE regexp_extract(%(u)s, '{_PATTERN}', 3) END || regexp_extract(%(u)s, '{_PATTERN}', 4) END"
+    + " || " + _CLEAN + f" || regexp_extract(%(u)s, '{_PATTERN}', 4) END"
 )
 
 OP10_SQL = f"""
