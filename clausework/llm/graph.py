@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from clausework.llm.common import cut
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s")).first()
-    return row["n"], row["s"]
-
-
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, component) for every end of an edge; component is the smallest node reachable.
 
@@ -25,9 +20,9 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = cut(e)
-    before = _mark(e)
+    n = e.count()
     for _ in range(rounds):
-        if not before[0]:
+        if not n:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -35,11 +30,11 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(least, "u")
         small = met.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, was = e, n
         e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
-        after = _mark(e)
-        if after == before:
+        n = e.count()
+        if n == was and old.join(e, ["u", "v"], "left_anti").isEmpty():
             break
-        before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
