@@ -18,9 +18,9 @@ from clausework.llm.common import read
 WORD = re.compile(r"\w+")
 #: Windows are leaks from this share of equal words on: at most a fifth of an item's words edited.
 SIMILARITY = 0.8
-#: Chance to find a window with so many edits, over all items, and the part of it that each item has at least.
+#: Chance to find a window with so many edits, over the items of a class, and that of each item at least.
 RECALL = 0.95
-LEAST = 0.8
+LEAST = 0.9
 #: Sampled positions of the embedding in each hash, and hashes at most.
 SAMPLED = 3
 MOST_TABLES = 64
@@ -151,7 +151,7 @@ def build(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, r
     chance is measured: TRIALS random edits of each item, and as many with all edits at the head,
     in the middle or at the tail, stand between other words and are searched, and hashes are
     added to a class until the share of trials that meet their item in some hash is `recall` for
-    the random edits and for each place, and LEAST of that for each item. A class that MOST_TABLES
+    the random edits and for each place, and LEAST for each item. A class that MOST_TABLES
     don't bring so far, and items too short for any edit, are looked up by pieces, which miss nothing.
     """
     rng = np.random.default_rng(seed)
@@ -176,7 +176,7 @@ def build(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, r
         share = lambda n, of: np.array([m.mean() for m in of(met[:, :, :n].any(axis=2))])
         for n in range(1, len(tables) + 1):
             places = share(n, lambda m: [m[:, kinds == k] for k in np.unique(kinds)])
-            if places.min() >= recall and share(n, list).min() >= LEAST * recall:
+            if places.min() >= recall and share(n, list).min() >= min(LEAST, recall):
                 break
         else:
             whole += ks
