@@ -22,6 +22,11 @@ CACHE = 600_000
 #: Letters at the start of a word, and below which character they count as Latin.
 FIRST_LETTERS = re.compile(r"[^\W\d_]*")
 LATIN = 0x250
+#: Texts by which a worker checks that the shortcut below fits the tokenizer file.
+PROBES = (
+    "The quick, brown FOX. It's don't; a1b2 -- (x) [y] {z} #tag @name 3.14 1,000 https://a.b/c?d=e&f", "naïve café Straße ÉCOLE œuvre niño Ångström ŁÓDŹ ǅ ß ﬁ x\u0301 e\u0301t\u0301 İstanbul ΑΣ ΣΑΣ дом 漢字 日本 🙂 👍🏽 \u00ad \u200b",
+    "  two  spaces\ttab\nline \x00 \x1f </s> <|endoftext|> [INST] ... !!! ??? _under_ snake_case camelCase ABC123def", "word" * 40 + " " + "é" * 50,
+)
 #: Pieces of one (length, bucket) group about; a hot length is spread over many.
 BUCKET = 1 << 17
 
@@ -46,7 +51,7 @@ class Words(dict):
     letters with what isn't one, so the ids of a text are those of its words,
     and those of a word are those of its first letters and of the rest. Latin
     letters go to the vocabulary's merges directly, all else through the whole
-    tokenizer.
+    tokenizer. A file for which this doesn't hold is refused, by PROBES.
     """
 
     def __init__(self, path: str):
@@ -58,6 +63,9 @@ class Words(dict):
         self.letters = _byte_letters()
         self.stems: dict[str, bytes] = {}
         self.rests: dict[str, bytes] = {}
+        for probe in PROBES:
+            if self.ids(probe.replace("\n", " ").split(" ")) != self.encode(probe):
+                raise ValueError(f"{path} doesn't lower-case and split words as assumed here")
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -114,7 +122,7 @@ def shortest_pack_first(histogram: dict[int, int], limit: int = LIMIT) -> list[t
     """(count, lengths) of every packing pattern, from counts of lengths.
 
     Lengths are placed longest first, always into the packs that are shortest so
-    far; what doesn't fit opens new packs. A whole class of equal packs takes a
+    far; what doesn't fit opens new packs, each filled before the next one. A whole class of equal packs takes a
     whole class of equal lengths at once, so the work depends on the number of
     different lengths and not on the number of documents.
     """
@@ -138,8 +146,14 @@ def shortest_pack_first(histogram: dict[int, int], limit: int = LIMIT) -> list[t
             if n < count:
                 put(room, count - n, chain)
             left -= n
-        if left:
-            put(limit - length, left, (length, ()))
+        # a new pack is the shortest until it is full of this length
+        most = limit // length
+        for count, times in ((left // most, most), (1, left % most)):
+            if count and times:
+                chain: tuple = ()
+                for _ in range(times):
+                    chain = (length, chain)
+                put(limit - times * length, count, chain)
     patterns = []
     for count, chain in classes.values():
         lengths: list[int] = []

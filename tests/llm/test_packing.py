@@ -85,6 +85,33 @@ def test_patterns_use_every_length_once(histogram):
         assert [s for s, _ in spans] == [0, *(e for _, e in spans[:-1])] and spans[-1][1] == n
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 20), max_size=20))
+def test_patterns_are_those_of_packing_one_at_a_time(histogram):
+    packs: list[list[int]] = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            shortest = min(packs, key=sum, default=None)
+            if shortest is not None and sum(shortest) + length <= 64:
+                shortest.append(length)
+            else:
+                packs.append([length])
+    got = [tuple(lengths) for count, lengths in packing.shortest_pack_first(histogram, 64) for _ in range(count)]
+    assert len(got) == len(packs) and sorted(map(sum, got)) == sorted(map(sum, packs))
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    import pytest
+
+    data = json.load(open(PATH, encoding="utf-8"))
+    data["normalizer"] = None  # no lower case
+    (tmp_path / "t.json").write_text(json.dumps(data), encoding="utf-8")
+    with pytest.raises(ValueError):
+        packing.Words(str(tmp_path / "t.json"))
+
+
 def test_ranks_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET", 3)
     p = spark.range(100).selectExpr("id AS doc_id", "0L AS start", "id % 3 AS length", "0L AS ids_crc32", "1L AS doc_tokens").checkpoint()
