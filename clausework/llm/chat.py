@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.llm.common import read
+from clausework.llm.common import read, stored
 
 #: The template: OPEN, then for each turn HEAD role TAIL text END.
 OPEN, HEAD, TAIL, END = "<s>", "[INST]", "[/INST]", "</s>"
@@ -32,9 +32,12 @@ def unescape(text: Column) -> Column:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Rows of finished turns as an event log: one message event, and one message, for each row."""
+    """Rows of finished turns as an event log: one message event, and one message, for each row.
+
+    The log is stored, so that the numbers that tell equal rows apart are given once.
+    """
     msg = F.struct(F.col("turn"), F.monotonically_increasing_id().alias("copy"))
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit(MESSAGE).alias("kind"), msg.alias("msg"), "turn", "role", "text")
+    return stored(conversations.select("conv_id", F.col("turn").alias("seq"), F.lit(MESSAGE).alias("kind"), msg.alias("msg"), "turn", "role", "text"))
 
 
 def fold(events: DataFrame) -> DataFrame:
