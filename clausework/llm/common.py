@@ -37,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read from there: smaller than cut(), and pruned by column."""
     out = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
