@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clausework.llm import decontaminate, lines, packing, simhash
 from clausework.llm import toxicity as toxic
-from clausework.llm.common import read, shared_dir
+from clausework.llm.common import read, removed, shared_dir
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of docs for each group of near duplicates."""
+    """One row of docs for each group of near duplicates: fingerprints and radius are those of the operator's own query."""
     return simhash.drop_near_copies(docs)
 
 
@@ -59,11 +59,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over the documents in sf_dir; each stage's rows are kept in the shared folder."""
+    """The result of all stages over the documents in sf_dir.
+
+    Each stage's rows are written to the shared folder and read by the next one;
+    they are removed when that one has written its own, so only the result stays.
+    """
     docs = read(spark, sf_dir, "documents")
     place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{place}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if last is not None:
+            removed(spark, last)
+        last = out
     return docs
