@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.llm.common import MAX_LONG, cut, join_counted, read
+from clausework.llm.common import MAX_LONG, cut, join_counted, read, stored
 
 #: Lines that the rolling hash spans; a chunk ends at BOUNDARIES of EVERY of its values, and after MOST lines.
 WINDOW = 2
@@ -117,10 +117,10 @@ def repeated_pieces(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     ids = ["h1", "h2"]
     place = F.struct("id", "key", "line")
-    small = cut(piece_rows(docs, min_lines))
+    small = stored(piece_rows(docs, min_lines))
     seen = small.groupBy(*ids).agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
     often = cut(seen.where("first < last").select(*ids, "n", "first"))
-    met = cut(join_counted(small, often, ids, ["id", "key"]).distinct())
+    met = stored(join_counted(small, often, ids, ["id", "key"]).distinct())
     compared = _bodies(docs, met.select("id", "key", "line", "lines", *ids)).groupBy(*ids).agg(F.min("body").alias("low"), F.max("body").alias("high"))
     odd = cut(compared.where("low <> high").select(*ids))
     if odd.isEmpty():
