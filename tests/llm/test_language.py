@@ -2,7 +2,11 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from clausework.llm import language
+from clausework.llm.common import held_out
 from tests.conftest import DATA
 from tests.llm.helpers import awkward_texts, clashing, documents
 
@@ -39,7 +43,46 @@ def test_awkward_rows(spark):
     assert language.identify(docs, language.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
-def test_full_cache_starts_anew(spark, monkeypatch):
-    monkeypatch.setattr(language, "CACHE", 8)
-    s = language.Scorer(language.fit(documents(spark, ["aa bb cc dd ee"] * 3 + ["xx yy zz ww vv"] * 3, langs=["a"] * 3 + ["x"] * 3)))
-    assert s.predict("aa bb cc dd ee aa bb cc xx yy")[0] == "a" and s.predict("xx yy zz ww vv uu tt ss rr")[0] == "x"
+def scored_by_hand(model, text):
+    total = np.zeros(len(model.langs))
+    words = language.words_of(text)
+    for w in words:
+        if w in model.words:
+            total += model.word_logs[model.words[w]]
+            continue
+        weight = language.BACKOFF
+        for n in language.ORDERS:
+            hit = [model.grams[n][g] for g in language.grams_of(w, n) if g in model.grams[n]]
+            if hit:
+                total += model.gram_logs[n][hit].mean(axis=0) * weight
+                break
+            weight *= language.BACKOFF
+    if not any(c.isalpha() for w in words for c in w):
+        return "und", 0.0
+    p = np.exp(total - total.max())
+    return model.langs[int(p.argmax())], float(p.max() / p.sum())
+
+
+def test_query_against_brute_force(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    model = language.fit(docs.where(~held_out(F.col("doc_id"), *language.HELD_OUT)))
+    got = {r["doc_id"]: r for r in language.op2_language(spark, f"{DATA}/sf0.001").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        lang, score = scored_by_hand(model, t)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-3, i
+    s = language.Scorer(model)
+    together = s.predict_all(list(texts.values()))
+    monkeypatch.setattr(language, "TOKENS", 40)
+    assert together == s.predict_all(list(texts.values())) == [s.predict(t) for t in texts.values()]  # whatever is scored with it
+
+
+def test_words_without_known_grams_say_nothing_whatever_came_before(spark):
+    model = language.fit(documents(spark, ["aa bb cc dd ee"] * 3 + ["xx yy zz ww vv"] * 3, langs=["a"] * 3 + ["x"] * 3))
+    s = language.Scorer(model)
+    fresh = language.Scorer(model).predict("漢字")
+    assert (s.evidence(["漢字"])[0] == s.evidence(["aa", "漢字", "xx"])[1]).all()
+    for text in ("aa bb", "cc dd ee", "xx yy zz", "ww vv"):
+        s.predict(text)
+        assert s.predict("漢字") == fresh
