@@ -33,15 +33,31 @@ CORRELATED = 0.3
 EM_ROUNDS = 25
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
-#: Words whose votes a worker remembers.
-CACHE = 150_000
-#: Patterns that may vote: (name, what is counted, from how many on).
-PATTERNS = (
-    ("shouting", re.compile(r"!{2,}"), 3),
-    ("capitals", re.compile(r"\b[A-Z]{4,}\b"), 5),
-    ("masked", re.compile(r"\b\w+[*@#$]+\w+\b"), 1),
-    ("second person", re.compile(r"\b(?:you|your|du|dein|tu|ton|usted|vous)\b", re.I), 3),
-)
+#: Patterns that may vote: (name, from how many finds on). What each counts is in patterns_of().
+PATTERNS = (("shouting", 3), ("capitals", 5), ("masked", 1), ("second person", 3))
+SHOUTING = re.compile(r"!{2,}")
+CAPITALS = re.compile(r"\b[A-Z]{4,}\b")
+MASKED = re.compile(r"\b\w+[*@#$]+\w+\b")
+SECOND_PERSON = frozenset("you your du dein tu ton usted vous".split())
+
+
+def has_capitals(text: str) -> bool:
+    """Four letters A-Z in a row, somewhere."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    big = (raw >= 65) & (raw <= 90)
+    pair = big[1:] & big[:-1]
+    return bool((pair[2:] & pair[:-2]).any())
+
+
+def patterns_of(text: str, words: list[str], different: set[str]) -> list[float]:
+    """Whether each of PATTERNS is found often enough; most texts need no search for what isn't there."""
+    counts = (
+        len(SHOUTING.findall(text)) if "!!" in text else 0,
+        len(CAPITALS.findall(text)) if has_capitals(text) else 0,
+        len(MASKED.findall(text)) if any(c in text for c in "*@#$") else 0,
+        sum(map(SECOND_PERSON.__contains__, words)) if not SECOND_PERSON.isdisjoint(different) else 0,
+    )
+    return [float(n >= least) for n, (_, least) in zip(counts, PATTERNS)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -65,33 +81,33 @@ class Model:
     lexicon: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(PATTERNS) + 2))
     bias: float = -10.0
+    #: Signals beyond MOST_VOTERS that would have voted as well.
+    dropped: int = 0
 
 
-class Voters(dict):
-    """word -> lexicon words and stems that it matches."""
+class Voters:
+    """Finds the entries of a lexicon in texts."""
 
     def __init__(self, lexicon: dict[str, int]):
-        super().__init__()
         self.lexicon = lexicon
         self.stems = {s[: s.index("*") + 1] for s in lexicon if "*" in s}
+        # a word that matches begins like an entry
+        self.heads = {s.partition("*")[0][: STEMS[0]] for s in lexicon}
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) >= CACHE:
-            self.clear()
-        found = tuple(s for s in stems_of(word) if s in self.stems) + ((word,) if word in self.lexicon else ())
-        self[word] = found
-        return found
+    def matches(self, word: str) -> tuple[str, ...]:
+        """The lexicon's beginnings of a word, and the word if it is in the lexicon."""
+        return tuple(s for s in stems_of(word) if s in self.stems) + ((word,) if word in self.lexicon else ())
 
     def features(self, text: str | None) -> tuple[list[int], list[float]]:
         """Lexicon entries that vote, and the dense features: patterns, number of different matching words, their share."""
         words = words_of(text)
-        hits = [w for w in words if self[w]]
-        different = set(hits)
-        shared = Counter(m for w in different for m in self[w])
-        named = {f"{m}{level}" for m, n in shared.items() if m[-1] == "*" for level in LEVELS if n >= level} | {m for m in shared if m[-1] != "*"}
+        different, heads, n = set(words), self.heads, STEMS[0]
+        met = {w: m for w in different if w[:n] in heads and (m := self.matches(w))}
+        shared = Counter(m for of in met.values() for m in of)
+        named = {f"{m}{level}" for m, k in shared.items() if m[-1] == "*" for level in LEVELS if k >= level} | {m for m in shared if m[-1] != "*"}
         found = sorted(self.lexicon[m] for m in named if m in self.lexicon)
-        dense = [float(sum(1 for _ in p.finditer(text or "")) >= least) for _, p, least in PATTERNS]
-        return found, [*dense, math.log1p(len(different)), len(hits) / (1 + len(words))]
+        hits = sum(map(met.__contains__, words)) if met else 0
+        return found, [*patterns_of(text or "", words, different), math.log1p(len(met)), hits / (1 + len(words))]
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -104,9 +120,9 @@ def _tail(k: int, n: int, p: float) -> float:
 
 
 def choose_lexicon(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> list[str]:
-    """Signals that speak for toxicity beyond chance, from (signal, toxic, clean) document counts.
+    """Signals that speak for toxicity beyond chance, from (signal, toxic, clean) document counts, the most frequent first.
 
-    A longer beginning is left out if a shorter one of the same level was chosen
+    A longer beginning is left out if a shorter one of the same level was found
     that is at least as precise and as frequent.
     """
     if not n_toxic or not n_clean:
@@ -114,16 +130,15 @@ def choose_lexicon(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: in
     rate = n_toxic / (n_toxic + n_clean)
     good = sorted((_tail(t, t + c, rate), -t, s, t / (t + c)) for s, t, c in counts if t / (t + c) >= max(PRECISION, rate))
     m = max(1, len(counts))
-    found = max((k for k, (p, *_) in enumerate(good, 1) if p <= FALSE_FINDS * k / m), default=0)  # Benjamini and Hochberg
-    good = sorted((p, -minus, s) for _, minus, s, p in good[:found])
-    good.sort(key=lambda x: (-x[1], x[2]))
-    kept = {s: (p, t) for p, t, s in good[:MOST_VOTERS]}
+    last = max((k for k, (p, *_) in enumerate(good, 1) if p <= FALSE_FINDS * k / m), default=0)  # Benjamini and Hochberg
+    found = {s: (p, -minus) for _, minus, s, p in good[:last]}
 
     def shorter(s: str) -> list[str]:
         stem, star, level = s.partition("*")
         return [stem[:n] + "*" + (level or "1") for n in STEMS if n < len(stem) or (not star and n <= len(stem))]
 
-    return sorted(s for s, x in kept.items() if not any(z in kept and kept[z] >= x for z in shorter(s)))
+    kept = [s for s, x in found.items() if not any(z in found and found[z] >= x for z in shorter(s))]
+    return sorted(kept, key=lambda s: (-found[s][1], s))
 
 
 def label_model(votes: np.ndarray, prior: float, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,22 +150,26 @@ def label_model(votes: np.ndarray, prior: float, seed: np.ndarray) -> tuple[np.n
     correlated; the weight of each is divided by how many it stands for, so that
     a word and its own beginning don't count as two witnesses.
     """
-    y = seed.astype(np.float64).copy()
-    votes = np.column_stack([votes, seed.astype(votes.dtype)])
-    n, m = votes.shape
+    # most documents have no votes at all: equal rows are taken once, with their number
+    given = np.column_stack([votes, seed.astype(votes.dtype)])
+    votes, which, times = np.unique(given, axis=0, return_inverse=True, return_counts=True)
+    which, times = which.ravel(), times.astype(np.float64)
+    y = votes[:, -1].astype(np.float64)
+    n, m = times.sum(), votes.shape[1]
     w = np.ones(m)
     rates = np.zeros((2, m))
-    for step in range(EM_ROUNDS):
-        pos, neg = max(y.sum(), 1e-9), max((1 - y).sum(), 1e-9)
-        voted = (votes.T @ np.column_stack([1 - y, y]).astype(votes.dtype)).astype(np.float64)
+    for _ in range(EM_ROUNDS):
+        pos, neg = max(times @ y, 1e-9), max(times @ (1 - y), 1e-9)
+        voted = (votes.T @ (np.column_stack([1 - y, y]) * times[:, None]).astype(votes.dtype)).astype(np.float64)
         rates[0], rates[1] = (voted[:, 0] + 1e-2) / (neg + 2e-2), (voted[:, 1] + 1e-2) / (pos + 2e-2)
         rates[:, -1] = np.clip(rates[:, -1], 0.02, 0.98)  # however well they fit
-        if step == 1:  # correlations given the label
-            r = votes - (y[:, None] * rates[1] + (1 - y)[:, None] * rates[0]).astype(votes.dtype)
-            sd = np.sqrt((r * r).mean(axis=0)) + 1e-9
-            corr = (r.T @ r) / n / np.outer(sd, sd)
-            corr[-1, :-1] = corr[:-1, -1] = 0.0  # the given labels don't stand for voters
-            w = 1.0 / np.maximum(1.0, np.where(np.abs(corr) > CORRELATED, np.abs(corr), 0).sum(axis=1))
+        # correlations given the label, as it is believed in this round
+        r = votes - (y[:, None] * rates[1] + (1 - y)[:, None] * rates[0]).astype(votes.dtype)
+        each = r * times[:, None].astype(votes.dtype)
+        sd = np.sqrt((r * each).sum(axis=0) / n) + 1e-9
+        corr = (r.T @ each) / n / np.outer(sd, sd)
+        corr[-1, :-1] = corr[:-1, -1] = 0.0  # the given labels don't stand for voters
+        w = 1.0 / np.maximum(1.0, np.where(np.abs(corr) > CORRELATED, np.abs(corr), 0).sum(axis=1))
         absent = w * np.log((1 - rates[1]) / (1 - rates[0]))
         logit = math.log(prior / (1 - prior)) + absent.sum() + votes @ (w * np.log(rates[1] / rates[0]) - absent).astype(votes.dtype)
         new = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
@@ -158,7 +177,7 @@ def label_model(votes: np.ndarray, prior: float, seed: np.ndarray) -> tuple[np.n
         y = new
         if done:
             break
-    return y, rates[:, :-1], w[:-1]
+    return y[which], rates[:, :-1], w[:-1]
 
 
 def _fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -182,9 +201,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     About `sample` labelled documents, those of the smallest hashes of their id,
     are read; this bound holds however large the tables are. Equal texts count
-    once. Candidate words and beginnings are counted on the cluster; votes of the
-    sample, at most `sample` short rows, come back to the driver. Null texts,
-    labels and ids are left out; without both classes nothing is toxic.
+    once, and of texts that share a labelled doc_id that of the smallest hash.
+    Candidate words and beginnings are counted on the cluster; votes of the
+    sample, about `sample` short rows, come back to the driver. Null texts,
+    labels and ids are left out; without both classes nothing is toxic. The model
+    says how many signals are beyond MOST_VOTERS.
     """
     given = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = given.count()
@@ -193,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     h = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30))
     given = given.where(h < int(min(1.0, sample / n) * (1 << 30)))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(given), "doc_id")  # at most about `sample` ids
-    texts = texts.dropDuplicates(["text"]).select("doc_id", "text", "toxic").persist()
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("t.text", "toxic")
+    texts = texts.dropDuplicates(["text"]).persist()
     size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
 
@@ -220,7 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = counted.where((F.col("t") >= 3) & (F.col("t") / (F.col("t") + F.col("c")) >= PRECISION)).orderBy(F.desc("t"), "s").limit(20 * MOST_VOTERS).collect()
     counted.unpersist()
     rows = [(r["s"], r["t"], r["c"]) for r in rows]
-    lexicon = {s: i for i, s in enumerate(choose_lexicon(rows + [("", 1, 10**9)] * (tried - len(rows)), n_toxic, n_clean))}
+    chosen = choose_lexicon(rows + [("", 1, 10**9)] * (tried - len(rows)), n_toxic, n_clean)
+    lexicon = {s: i for i, s in enumerate(sorted(chosen[:MOST_VOTERS]))}
+    dropped = max(0, len(chosen) - MOST_VOTERS)
     shape = texts.select("text", "toxic")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     votes = shape.mapInArrow(vote, "toxic int, hits array<long>, dense array<double>").collect()
     texts.unpersist()
     if not votes or not n_toxic or not n_clean:
-        return Model(lexicon)
+        return Model(lexicon, dropped=dropped)
     seed = np.array([float(r["toxic"] > 0) for r in votes])
     x = np.zeros((len(votes), len(lexicon)), np.float32)  # 40 MB at most
     for i, r in enumerate(votes):
@@ -243,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     prior = min(0.99, max(0.001, seed.mean()))
     posterior, _, _ = label_model(voters, prior, seed)
     weights, bias = _fit_linear(np.column_stack([x, dense]), posterior)
-    return Model(lexicon, weights, bias)
+    return Model(lexicon, weights, bias, dropped)
 
 
 def score_of(model: Model, hits: list[int], dense: list[float]) -> float:

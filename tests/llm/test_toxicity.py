@@ -37,6 +37,46 @@ def test_lexicon_needs_more_than_chance():
     assert toxicity.choose_lexicon(rare, 0, 900) == []
 
 
+def score_by_hand(model, text):
+    """The score from whole signals of a text and patterns searched everywhere."""
+    import math
+    import re
+
+    words = toxicity.words_of(text)
+    named = toxicity.signals_of(set(words))
+    on = [model.weights[i] for s, i in model.lexicon.items() if s in named]
+    stems = {s[: s.index("*")] for s in model.lexicon if "*" in s}
+    met = lambda w: w in model.lexicon or any(w[:n] in stems for n in toxicity.STEMS if len(w) >= n)
+    hits = [w for w in words if met(w)]
+    found = (re.findall(r"!{2,}", text or ""), re.findall(r"\b[A-Z]{4,}\b", text or ""), re.findall(r"\b\w+[*@#$]+\w+\b", text or ""), [w for w in words if w in toxicity.SECOND_PERSON])
+    dense = [float(len(f) >= least) for f, (_, least) in zip(found, toxicity.PATTERNS)] + [math.log1p(len(set(hits))), len(hits) / (1 + len(words))]
+    k = len(model.lexicon)
+    logit = model.bias + sum(map(float, on)) + sum(float(w) * v for w, v in zip(model.weights[k:], dense))
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, logit))))
+
+
+def test_query_against_brute_force(spark):
+    sf = f"{DATA}/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fitted(spark, docs, sf)
+    got = {r["doc_id"]: r for r in toxicity.op7_toxicity(spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert got.keys() == texts.keys() and len(model.lexicon) > 0
+    for i, t in texts.items():
+        want = score_by_hand(model, t)
+        assert abs(got[i]["score"] - want) < 1e-6 and got[i]["predicted"] == (want >= 0.3), i
+    some = "YOU idiot!!! SHOUT LOUD f*ck AAAA BBBB CCCC DDDD you du e@mail !! !!! x"
+    assert abs(toxicity.score_of(model, *toxicity.Voters(model.lexicon).features(some)) - score_by_hand(model, some)) < 1e-9
+    assert toxicity.has_capitals("éABCDz") and not toxicity.has_capitals("ABCé DEF") and not toxicity.has_capitals("")
+
+
+def test_texts_that_share_a_labelled_id_are_one_row_of_the_sample(spark):
+    texts = [f"you idiot {i} text of words" if i % 3 == 0 else f"nice text of words {i}" for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    many = documents(spark, texts + [f"another text {i} of one document" for i in range(500)], [*range(60), *[1] * 500])
+    assert toxicity.fit(many, labels).lexicon.keys() == toxicity.fit(documents(spark, texts), labels).lexicon.keys()
+
+
 def fitted(spark):
     texts = [f"you idiot {i} text of words" if i % 3 == 0 else f"nice text of words {i}" for i in range(150)]
     docs = documents(spark, texts)
