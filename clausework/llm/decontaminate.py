@@ -268,10 +268,10 @@ class Walker:
         for found in self.of_walk.values():
             found.sort(key=lambda x: x[:2])
 
-    def hits(self, symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def hits(self, symbols: np.ndarray, begin: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(table, starts, items): where an item would begin whose hash some window shares.
 
-        Walks that meet stay together, so only the places where walks stand are kept, which
+        Walks begin at all symbols, or at those that `begin` lists. Walks that meet stay together, so only the places where walks stand are kept, which
         soon are few. At a table's first step those go on that stand on some item's symbol.
         """
         padded = np.append(symbols, self.index.wall).astype(np.int64)
@@ -290,7 +290,7 @@ class Walker:
                 go &= np.uint64(1)
                 return at + go.view(np.int64)
 
-            at, step = np.arange(len(symbols)), 0
+            at, step = np.arange(len(symbols)) if begin is None else begin, 0
             for first, t, seen, where, levels, items, stands, ends in tables:
                 while step < first:
                     at = moved(at, step)
@@ -320,13 +320,33 @@ class Pattern:
     def __init__(self, symbols: np.ndarray):
         self.size = len(symbols)
         self.masks: dict[int, int] = {}
+        self.back: dict[int, int] = {}
         for i, x in enumerate(symbols.tolist()):
             self.masks[x] = self.masks.get(x, 0) | 1 << i
+            self.back[x] = self.back.get(x, 0) | 1 << (self.size - 1 - i)
 
-    def distance(self, text: list[int], most: int, anywhere: bool = False) -> tuple[int, int]:
-        """(distance, length of the best prefix of text), exact up to `most`, else more than it.
+    def from_each(self, text: list[int]) -> list[int]:
+        """For each word of text the distance of the closest part that begins there: one pass from the end."""
+        full, last = (1 << self.size) - 1, 1 << (self.size - 1)
+        up, down, score = full, 0, self.size
+        out = []
+        for x in reversed(text):
+            eq = self.back.get(x, 0)
+            diagonal = (((eq & up) + up) ^ up) | eq | down
+            right = down | (full & ~(diagonal | up))
+            left = up & diagonal
+            if right & last:
+                score += 1
+            elif left & last:
+                score -= 1
+            right <<= 1  # a part may end at any word
+            up = (left << 1 | ~(diagonal | right)) & full
+            down = right & diagonal & full
+            out.append(score)
+        return out[::-1]
 
-        anywhere: the best part of text may begin at any word of it; the length is where it ends.
+    def distance(self, text: list[int], most: int) -> tuple[int, int]:
+        """(distance, length of the best prefix of text), exact up to `most`, else more than it.
 
         Each bit of up and down says that the column of the distance table grows
         or falls by one there, so a word of text costs a few operations on
@@ -344,7 +364,7 @@ class Pattern:
                 score += 1
             elif left & last:
                 score -= 1
-            right = right << 1 | (not anywhere)
+            right = right << 1 | 1
             up = (left << 1 | ~(diagonal | right)) & full
             down = right & diagonal & full
             if score < best:
@@ -360,11 +380,14 @@ class Numbers(dict):
     def __init__(self, words: dict[str, int]):
         super().__init__()
         self.words = words
+        self.same: dict[bytes, bytes] = {}  # most words are in no item, and share one object
 
     def __missing__(self, raw: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
+            self.same.clear()
         found = array("i", [self.words.get(w, 0) for w in WORD.findall(raw.lower())]).tobytes()
+        found = self.same.setdefault(found, found)
         self[raw] = found
         return found
 
@@ -379,9 +402,11 @@ class Finder:
         self.index = index
         self.similarity = similarity
         self.numbers = Numbers(index.words)
-        self.member = np.zeros((len(index.items), len(index.words) + 3), bool)
+        #: Marks of the pairs of neighbouring words of every item, with the item; pairs that share a mark only let more through.
+        self.shift = np.uint64(64 - min(24, max(10, 4 + sum(map(len, index.items)).bit_length())))
+        self.pair_marks = np.zeros(1 << (64 - int(self.shift)), bool)
         for k, x in enumerate(index.items):
-            self.member[k, x] = True
+            self.pair_marks[self.pairs(np.full(len(x) - 1, k), x[:-1], x[1:])] = True
         self.lengths = np.array([len(x) for x in index.items], np.int64)
         self.allowed = np.array([edits_allowed(n, similarity) for n in self.lengths], np.int64)
         self.patterns = [Pattern(x) for x in index.items]
@@ -390,9 +415,32 @@ class Finder:
         self.before = 2 * int(self.allowed.max(initial=0)) + 2
         self.around = 4 * index.most + self.before
 
-    def candidates(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The mark of a pair of words of an item: the top bits of a multiplicative hash."""
+        size = np.uint64(len(self.index.words) + 3)
+        codes = (items.astype(np.uint64) * size + a.astype(np.uint64)) * size + b.astype(np.uint64)
+        return (codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def dense(self, known: np.ndarray) -> np.ndarray:
+        """The symbols at which walks may begin that come into a leak; known: how many words of items there are before each symbol.
+
+        A leak of n words with e edits lies in some window of n + e symbols, of
+        which n - e or more are words of items. All other parts of a text, such
+        as those in another language, have no leak and need no walk.
+        """
+        size = len(known) - 1
+        marks = np.zeros(size + 1, np.int64)
+        for e in np.unique(self.allowed):
+            n = self.lengths[self.allowed == e]
+            wide = min(int(n.max() + e), size)
+            s = np.flatnonzero(known[wide:] - known[: size + 1 - wide] >= n.min() - e)
+            marks += np.bincount(np.maximum(s - self.before, 0), minlength=size + 1)
+            marks -= np.bincount(np.minimum(s + wide, size), minlength=size + 1)
+        return np.flatnonzero(np.cumsum(marks)[:size] > 0)
+
+    def candidates(self, symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, item): where items would begin of which some window has a hash."""
-        found = [starts * len(self.index.items) + items for _, starts, items in self.walker.hits(symbols)]
+        found = [starts * len(self.index.items) + items for _, starts, items in self.walker.hits(symbols, begin)] if len(begin) else []
         both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return both // len(self.index.items), both % len(self.index.items)
 
@@ -413,10 +461,12 @@ class Finder:
         ends = np.cumsum([len(x) for x in parts])[1::2]  # of the texts
         from_ = np.cumsum([len(x) for x in parts])[::2]
         known = np.concatenate([[0], np.cumsum((symbols > 0) & (symbols < index.wall))])
-        windows: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
+        begin = self.dense(known)
+        windows: dict[tuple[int, int], list[list[int]]] = {}
         for lo in range(0, len(symbols), PART):
             first = max(0, lo - self.around)
-            starts, items = self.candidates(symbols[first : lo + PART + self.around])
+            last = min(lo + PART + self.around, len(symbols))
+            starts, items = self.candidates(symbols[first:last], begin[(begin >= first) & (begin < last)] - first)
             starts = starts + first
             # a start before the symbols of the part is left to the part before it, if there is one
             ok = (starts < lo + PART) & ((starts >= lo) | (lo == 0))
@@ -424,26 +474,36 @@ class Finder:
             # the text in which the item would end: its start may lie before the text
             doc = np.minimum(np.searchsorted(ends, starts + self.allowed[items], side="right"), len(ends) - 1)
             since = np.maximum(starts - self.allowed[items], from_[doc])
-            upto = np.minimum(starts + self.lengths[items] + self.allowed[items], ends[doc])
+            upto = np.minimum(starts + self.lengths[items] + 2 * self.allowed[items], ends[doc])
             need = self.lengths[items] - self.allowed[items]
-            # without enough words of any item, and then of this item, in the window there is no need to align
+            # an edit parts two pairs of neighbouring words at most
+            need_pairs = self.lengths[items] - 1 - 2 * self.allowed[items]
+            # without enough words of any item, and then pairs of this item, in the window there is no need to align
             ok = np.flatnonzero((upto > since) & (known[np.maximum(upto, since)] - known[since] >= need))
             for at in range(0, len(ok), 1 << 13):
                 k = ok[at : at + (1 << 13)]
                 inside = since[k][:, None] + np.arange(int((upto[k] - since[k]).max()))
-                hit = self.member[items[k][:, None], symbols[np.minimum(inside, len(symbols) - 1)]] & (inside < upto[k][:, None])
-                for n in k[hit.sum(axis=1) >= need[k]].tolist():
-                    i, most = int(items[n]), int(self.allowed[items[n]])
-                    if self.patterns[i].distance(symbols[since[n] : upto[n]].tolist(), most, anywhere=True)[0] > most:
-                        continue
-                    tried = windows.setdefault((int(doc[n]), i), {})
-                    for s in range(int(since[n]), min(int(starts[n]) + most + 1, int(ends[doc[n]]))):
-                        if s not in tried:
-                            tried[s] = self.patterns[i].distance(symbols[s : min(s + len(index.items[i]) + most, int(ends[doc[n]]))].tolist(), most)
+                near = symbols[np.minimum(inside, len(symbols) - 1)]
+                hit = self.pair_marks[self.pairs(items[k][:, None], near[:, :-1], near[:, 1:])] & (inside[:, 1:] < upto[k][:, None])
+                for n in k[hit.sum(axis=1) >= need_pairs[k]].tolist():
+                    spans = windows.setdefault((int(doc[n]), int(items[n])), [])
+                    s, stop = int(since[n]), min(int(starts[n] + self.allowed[items[n]]) + 1, int(ends[doc[n]]))
+                    if spans and s <= spans[-1][1]:  # they come in the order of their starts
+                        spans[-1][1] = max(spans[-1][1], stop)
+                    else:
+                        spans.append([s, stop])
         found = []
-        for (k, i), tried in windows.items():
+        for (k, i), spans in windows.items():
             taken: list[tuple[int, int]] = []
-            for d, s, length in sorted((d, s, length) for s, (d, length) in tried.items() if d <= self.allowed[i]):
+            most = int(self.allowed[i])
+            tried: dict[int, int] = {}
+            for s, stop in spans:
+                far = min(stop + len(index.items[i]) + most, int(ends[k]))
+                tried.update(zip(range(s, stop), self.patterns[i].from_each(symbols[s:far].tolist())))
+            for d, s in sorted((d, s) for s, d in tried.items() if d <= most):
+                if any(a <= s < z for a, z in taken):
+                    continue
+                length = self.patterns[i].distance(symbols[s : min(s + len(index.items[i]) + most, int(ends[k]))].tolist(), most)[1]
                 if all(s + length <= a or s >= z for a, z in taken):
                     taken.append((s, s + length))
                     found.append((k, index.ids[i], int(s - from_[k]), length, d))
