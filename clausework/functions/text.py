@@ -73,12 +73,13 @@ def top_level(clause_no: Column) -> Column:
 
 
 def clause_tuple(clause_no: Column) -> Column:
+    """The numbers of a dotted clause number."""
     return F.transform(F.split(clause_no, r"\."), lambda x: x.cast("bigint"))
 
 
-def effective_key(key: Column) -> Column:
-    """A clause tuple without one trailing zero, if something is left."""
-    return F.when((F.size(key) >= 2) & (F.element_at(key, -1) == 0), F.slice(key, 1, F.size(key) - 1)).otherwise(key)
+def clause_depth(clause_no: Column) -> Column:
+    """How many numbers a dotted clause number has."""
+    return F.size(clause_tuple(clause_no))
 
 
 def nests_under(item: Column, heading: Column) -> Column:

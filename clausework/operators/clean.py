@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausework.functions import patterns as P
-from clausework.functions.text import bounded_field, centre_in, is_blank, is_footer, normalize_cell, strip, union_box
+from clausework.functions.text import bounded_field, centre_in, is_blank, is_bold, is_footer, normalize_cell, strip, union_box
 from clausework.operators import tables as T
 from clausework.schemas import SCHEMAS
 
@@ -17,7 +17,7 @@ def blocks_from_spans(spans: DataFrame) -> DataFrame:
     """source_pdf, page, block_no, bbox, lines: the page's blocks with lines and spans; sizes to two digits."""
     span = F.struct(
         "span_no", "text", "page", F.bround("font_size", 2).alias("font_size"),
-        (F.col("font").contains("Bold") | (F.col("flags").bitwiseAND(16) != 0)).alias("bold"), "bbox",
+        is_bold(F.col("font"), F.col("flags")).alias("bold"), "bbox",
     )
     lines = spans.groupBy("source_pdf", "page", "block_no", "line_no").agg(F.sort_array(F.collect_list(span)).alias("s"))
     plain = F.transform("s", lambda s: F.struct(s["text"].alias("text"), s["page"].alias("page"), s["font_size"].alias("font_size"), s["bold"].alias("bold"), s["bbox"].alias("bbox")))
@@ -52,7 +52,7 @@ def table_headers(raw_tables: DataFrame) -> DataFrame:
 
 def form_headers(spans: DataFrame) -> DataFrame:
     """The header of each page whose top band is a form's free text with a document number and something bold."""
-    bold = F.col("font").contains("Bold") | (F.col("flags").bitwiseAND(16) != 0)
+    bold = is_bold(F.col("font"), F.col("flags"))
     band = spans.where((F.col("bbox")[3] <= P.FORM_BAND_BOTTOM) & ~is_blank(F.col("text")))
     s = F.struct(F.col("bbox")[1].alias("y"), F.col("bbox")[0].alias("x"), "block_no", "line_no", "span_no", strip(F.col("text")).alias("text"), "bbox")
     pages = band.groupBy("source_pdf", "page").agg(F.sort_array(F.collect_list(s)).alias("s"), F.max(bold).alias("any_bold"))
@@ -119,19 +119,23 @@ def extraction_report(segmented: DataFrame) -> DataFrame:
 
 
 def page_blocks(blocks: DataFrame, segmented: DataFrame, raw_tables: DataFrame, pages: DataFrame) -> DataFrame:
-    """Blocks of a page without blank lines, footers and lines inside its header or any of its tables."""
+    """Blocks of a page without blank lines, footers and lines inside its header or any of its tables.
+
+    A block keeps its own box, whatever lines it loses. The height is that of the
+    PDF's first page; a PDF without one has no footers.
+    """
     height = pages.where("page = 1").select("source_pdf", F.col("height").alias("_height"))
     regions = raw_tables.where((F.size("rows") > 0) & ~T.is_header_band(F.col("rows"))).groupBy("source_pdf", "page").agg(F.collect_list("bbox").alias("_tables"))
     head = segmented.where("has_header").select("source_pdf", "page", F.array("bbox").alias("_head"))
-    met = blocks.join(height, "source_pdf").join(regions, ["source_pdf", "page"], "left").join(head, ["source_pdf", "page"], "left")
+    met = blocks.join(height, "source_pdf", "left").join(regions, ["source_pdf", "page"], "left").join(head, ["source_pdf", "page"], "left")
     none = F.array().cast("array<array<double>>")
     inside = F.concat(F.coalesce("_tables", none), F.coalesce("_head", none))
     keep = F.filter(
         "lines",
-        lambda l: ~is_blank(l["text"]) & ~F.exists(inside, lambda r: centre_in(l["bbox"], r)) & ~is_footer(l["text"], l["bbox"][3], F.col("_height")),
+        lambda l: ~is_blank(l["text"]) & ~F.exists(inside, lambda r: centre_in(l["bbox"], r)) & ~F.coalesce(is_footer(l["text"], l["bbox"][3], F.col("_height")), F.lit(False)),
     )
     out = met.withColumn("lines", keep).where(F.size("lines") > 0)
-    return out.withColumns({"bbox": union_box(F.transform("lines", lambda l: l["bbox"])), "text": F.array_join(F.transform("lines", lambda l: l["text"]), " ")}).drop("_height", "_tables", "_head")
+    return out.withColumn("text", F.array_join(F.transform("lines", lambda l: l["text"]), " ")).drop("_height", "_tables", "_head")
 
 
 def named_blocks(cleaned: DataFrame, segmented: DataFrame) -> DataFrame:

@@ -73,14 +73,15 @@ def row_facts(rows: DataFrame) -> DataFrame:
     row that isn't in parentheses is numbered and begins at 1).
     """
     block = Window.partitionBy(*SUBDOC, "block_id")
-    after = Window.partitionBy(*SUBDOC).orderBy("row_ord").rowsBetween(1, Window.unboundedFollowing)
+    # backwards, so that the frame grows: one pass, and no new search for each row
+    after = Window.partitionBy(*SUBDOC).orderBy(F.desc("row_ord")).rowsBetween(Window.unboundedPreceding, -1)
     r = rows.withColumns({"shape": heading_shape(F.col("text")), "paren": is_parenthetical(F.col("text"))})
     opens = F.when(~F.col("paren"), F.coalesce(top_level(F.col("shape.clause_no")), F.lit(0)))
     return r.withColumns({
         "block_rows": F.count("*").over(block),
         "block_candidates": F.count_if(~F.col("paren") & F.col("shape").isNotNull()).over(block),
         "homogeneous": F.bool_and("all_bold").over(block),
-        "restart": F.coalesce(F.first(opens, ignorenulls=True).over(after) == 1, F.lit(False)),
+        "restart": F.coalesce(F.last(opens, ignorenulls=True).over(after) == 1, F.lit(False)),
         "annex": F.when(F.col("all_bold"), F.nullif(F.regexp_extract("text", java(P.ANNEX), 1), F.lit(""))),
         "annexure": F.nullif(F.regexp_extract("text", java(P.ANNEXURE, ignore_case=True), 1), F.lit("")),
     })
@@ -163,8 +164,9 @@ class Outline:
     missing first level is made up, missing levels in between are skipped. A
     heading without text of its own becomes no chunk: a numbered one waits for
     descendants, any other leads the next chunk. An annex heading starts a new
-    numbering. Nothing is dropped: what finds no place leads the next chunk, or
-    ends up with the last one.
+    numbering. What finds no place leads the next chunk, or ends up with the last
+    one; only the line of a heading without text whose number comes again, before
+    it has descendants, gives way to the later one.
     """
 
     def __init__(self, doc_name: str | None):

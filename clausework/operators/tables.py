@@ -21,13 +21,16 @@ def body_tables(raw: DataFrame) -> DataFrame:
 
 
 def with_page_facts(raw: DataFrame, spans: DataFrame, pages: DataFrame) -> DataFrame:
-    """content_below and gap_to_bottom of each raw table; the height is that of the PDF's first page."""
+    """content_below and gap_to_bottom of each raw table; the height is that of the PDF's first page.
+
+    Without a first page the gap is null, and the table isn't continued.
+    """
     height = pages.where("page = 1").select("source_pdf", F.col("height").alias("_height"))
-    text = spans.join(height, "source_pdf").where(
+    text = spans.where(
         ~is_blank(F.col("text")) & ~F.coalesce(F.col("text").rlike("(?U)(?d)(?i)(?u)" + P.FOOTER), F.lit(False))
     )
     lowest = text.groupBy("source_pdf", "page").agg(F.max(F.col("bbox")[1]).alias("_lowest"))
-    met = raw.drop("content_below", "gap_to_bottom").join(height, "source_pdf").join(lowest, ["source_pdf", "page"], "left")
+    met = raw.drop("content_below", "gap_to_bottom").join(height, "source_pdf", "left").join(lowest, ["source_pdf", "page"], "left")
     below = F.coalesce(F.col("_lowest") > F.col("bbox")[3], F.lit(False))
     return met.withColumn("content_below", below).withColumn("gap_to_bottom", F.col("_height") - F.col("bbox")[3]).drop("_height", "_lowest")
 

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from clausework.operators import clean, outline
 from clausework.operators import tables as T
 from clausework.sources.catalog import Catalog
+from clausework.sources.scratch import stored
+
 
+def parse(spans: DataFrame, pages: DataFrame, raw_tables: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """Every table of stage A by name; also `segmented`, `judged`, `diagrams`, `report` and `folded`.
 
-def parse(spans: DataFrame, pages: DataFrame, raw_tables: DataFrame) -> dict[str, DataFrame]:
-    """Every table of stage A, lazily, by name; also `segmented`, `judged`, `diagrams`, `report` and `folded`."""
+    All are lazy, but keep() may store what several of them read.
+    """
     raw = T.with_page_facts(raw_tables, spans, pages)
     head = clean.headers(raw_tables, spans)
-    segmented = clean.segment(pages, head).persist()  # a row for each page; every table needs it
+    segmented = keep(clean.segment(pages, head))  # a row for each page; every table needs it
     subdocs = clean.subdocuments(segmented)
-    cleaned = clean.page_blocks(clean.blocks_from_spans(spans), segmented, raw_tables, pages)
+    cleaned = keep(clean.page_blocks(clean.blocks_from_spans(spans), segmented, raw_tables, pages))
     blocks = clean.named_blocks(cleaned, segmented)
-    judged = clean.judged_tables(raw, segmented)
+    judged = keep(clean.judged_tables(raw, segmented))
     tables = clean.kept_tables(judged)
     diagrams = clean.diagram_pages(cleaned, segmented, raw_tables)
     rows = outline.rows_of_blocks(blocks)
@@ -36,10 +42,9 @@ def run(catalog: Catalog, spans: DataFrame, pages: DataFrame, raw_tables: DataFr
     cleaned and no subdocument folded twice.
     """
     catalog.clear()
-    made = parse(spans, pages, raw_tables)
-    stored = {name: catalog.write(name, made[name]) for name in ("subdocuments", "blocks", "tables", "removal_log")}
-    folded = outline.outlines(outline.rows_of_blocks(stored["blocks"]), stored["tables"], stored["subdocuments"]).persist()
+    made = parse(spans, pages, raw_tables, stored)
+    tables = {name: catalog.write(name, made[name]) for name in ("subdocuments", "blocks", "tables", "removal_log")}
+    folded = stored(outline.outlines(outline.rows_of_blocks(tables["blocks"]), tables["tables"], tables["subdocuments"]))
     catalog.write("events", outline.events_table(folded))
-    chunks = catalog.write("chunks", outline.chunks_table(folded, stored["subdocuments"]))
-    folded.unpersist()
-    return {"subdocuments": stored["subdocuments"].count(), "chunks": chunks.count()}
+    chunks = catalog.write("chunks", outline.chunks_table(folded, tables["subdocuments"]))
+    return {"subdocuments": tables["subdocuments"].count(), "chunks": chunks.count()}

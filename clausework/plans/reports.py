@@ -46,7 +46,7 @@ def diagram_pages(diagrams: DataFrame) -> str:
 
 def coverage(events: DataFrame, facts: DataFrame) -> str:
     """Where each source line went, and what the homogeneity of blocks has kept from being a heading."""
-    return _page("Coverage of source lines", ("Lines", quality.coverage(events)), ("Blocks", quality.homogeneity(facts, events)))
+    return _page("Coverage of source lines", ("Lines", quality.coverage(events, facts)), ("Blocks", quality.homogeneity(facts, events)))
 
 
 def index_inputs(chunks: DataFrame, items: DataFrame, tokenized: DataFrame) -> str:

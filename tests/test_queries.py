@@ -32,11 +32,21 @@ def test_entry():
 def test_cosine_ranking_has_every_item_with_a_vector(spark):
     read = lambda t: spark.read.parquet(f"{DATA}/{SF}/{t}.parquet")
     want = {r[0] for r in read("benchmark").select("item_id").collect()} & {r[0] for r in read("embeddings").select("vec_id").collect()}
-    got = registry.queries()["cosine_ranking_items"](spark, f"{DATA}/{SF}").groupBy("item_id").count().collect()
+    got = registry.queries()["cosine_ranking"](spark, f"{DATA}/{SF}").groupBy("item_id").count().collect()
     assert {r["item_id"] for r in got} == want and {r["count"] for r in got} == {read("embeddings").count()}
 
 
 def test_heading_shape_has_every_line(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/{SF}/documents.parquet").collect()}
-    got = {(r["doc_id"], r["line"]) for r in registry.queries()["heading_shape_lines"](spark, f"{DATA}/{SF}").collect()}
+    got = {(r["doc_id"], r["line"]) for r in registry.queries()["heading_shape"](spark, f"{DATA}/{SF}").collect()}
     assert got == {(i, n) for i, t in texts.items() for n in range(len(t.split("\n")))} and len(got) > len(texts)
+
+
+def test_checks_have_something_to_find(spark):
+    for name in ("list_faults", "vector_check"):
+        assert registry.queries()[name](spark, f"{DATA}/{SF}").count() > 0
+
+
+def test_nothing_stays_cached(spark):
+    registry.queries()["keyword_ranking"](spark, f"{DATA}/{SF}").count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
