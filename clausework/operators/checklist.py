@@ -21,20 +21,27 @@ def without_margins(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_band", band).where(keep).drop("_band")
 
 
+def anchored_groups(tops: list[float], tolerance: float = P.ROW_TOLERANCE) -> list[int]:
+    """The row of each line, in order: a new one begins where a line is further than tolerance from the first of the open row."""
+    groups, anchor = [], None
+    for y in tops:
+        new = anchor is None or abs(y - anchor) > tolerance
+        groups.append((groups[-1] if groups else -1) + new)
+        anchor = y if new else anchor
+    return groups
+
+
 def grouped_rows(lines: DataFrame) -> DataFrame:
     """One row for each group of lines of a page within a tolerance of the group's first line."""
-    page = lines.select("checklist", "page", "y0", "line_ord", "x0", "bold", "text")
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "line_ord"], kind="stable").reset_index(drop=True)
-        anchor, n, groups = None, -1, []
-        for y in pdf["y0"]:
-            if anchor is None or abs(y - anchor) > P.ROW_TOLERANCE:
-                anchor, n = y, n + 1
-            groups.append(n)
-        return pdf.assign(g=groups)
-
-    g = page.groupBy("checklist", "page").applyInPandas(group, "checklist string, page int, y0 double, line_ord int, x0 double, bold boolean, text string, g int")
+
+    @F.pandas_udf("array<int>")
+    def groups(column: pd.Series) -> pd.Series:
+        return column.map(lambda tops: anchored_groups(list(tops)))
+
+    line = F.struct("y0", "line_ord", "x0", "bold", "text")
+    pages = lines.groupBy("checklist", "page").agg(F.sort_array(F.collect_list(line)).alias("ls"))
+    g = pages.withColumn("g", groups(F.transform("ls", lambda l: l["y0"]))).select("checklist", "page", F.explode(F.arrays_zip("g", "ls")).alias("l"))
+    g = g.select("checklist", "page", "l.g", "l.ls.*")
     cell = F.struct("x0", "y0", "line_ord", "text")
     rows = g.groupBy("checklist", "page", "g").agg(F.sort_array(F.collect_list(cell)).alias("cells"), F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.bool_and("bold").alias("bold"))
     rows = rows.withColumn("text", strip(F.array_join(F.transform("cells", lambda c: c["text"]), " ")))
@@ -72,6 +79,16 @@ def classified(rows: DataFrame) -> DataFrame:
     return out.withColumns({"clause_no": F.when(numbered, F.col("clause_no")), "title": F.when(numbered, F.col("title"))}).select(*rows.columns, "kind", "clause_no", "title", "threshold")
 
 
+def open_headings(depths: list[int]) -> list[list[int]]:
+    """For each heading the places of those that are open at it, itself last."""
+    stack: list[int] = []
+    out = []
+    for i, depth in enumerate(depths):
+        stack = [j for j in stack if depths[j] < depth] + [i]
+        out.append(stack)
+    return out
+
+
 def heading_paths(c: DataFrame) -> DataFrame:
     """c with `path`: the open headings at each row, one for each depth at most.
 
@@ -80,17 +97,13 @@ def heading_paths(c: DataFrame) -> DataFrame:
     the order of rows, headings alone, which are few.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack: list[tuple[int, str, str]] = []
-        paths = []
-        for _, no, title in pdf.sort_values("row_ord")[["row_ord", "clause_no", "title"]].itertuples(index=False):
-            depth = no.count(".") + 1
-            stack = [s for s in stack if s[0] < depth] + [(depth, no, title)]
-            paths.append([{"clause_no": n, "clause_title": t} for _, n, t in stack])
-        return pd.DataFrame({"checklist": pdf["checklist"], "row_ord": sorted(pdf["row_ord"]), "path": paths})
-
-    of = c.where("kind = 'heading'").select("checklist", "row_ord", "clause_no", "title")
-    paths = of.groupBy("checklist").applyInPandas(fold, "checklist string, row_ord int, path array<struct<clause_no:string,clause_title:string>>")
+    @F.pandas_udf("array<array<int>>")
+    def open_at(column: pd.Series) -> pd.Series:
+        return column.map(lambda depths: open_headings(list(depths)))
+
+    heads = c.where("kind = 'heading'").groupBy("checklist").agg(F.sort_array(F.collect_list(F.struct("row_ord", "clause_no", F.col("title").alias("clause_title")))).alias("hs"))
+    of = F.transform(open_at(F.transform("hs", lambda h: F.size(F.split(h["clause_no"], r"\.")))), lambda at: F.transform(at, lambda i: F.struct(F.get("hs", i)["clause_no"].alias("clause_no"), F.get("hs", i)["clause_title"].alias("clause_title"))))
+    paths = heads.withColumn("ps", of).select("checklist", F.explode(F.arrays_zip("hs", "ps")).alias("x")).select("checklist", F.col("x.hs.row_ord").alias("row_ord"), F.col("x.ps").alias("path"))
     so_far = Window.partitionBy("checklist").orderBy("row_ord").rowsBetween(Window.unboundedPreceding, 0)
     met = c.join(paths, ["checklist", "row_ord"], "left")
     return met.withColumn("path", F.coalesce(F.last("path", ignorenulls=True).over(so_far), F.array().cast("array<struct<clause_no:string,clause_title:string>>")))

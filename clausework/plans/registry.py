@@ -17,7 +17,7 @@ from clausework.functions import patterns as P
 from clausework.functions import text as X
 from clausework.operators import bm25, checklist, clean, outline, quality, ranking, serve
 from clausework.operators import tables as T
-from clausework.plans import index
+from clausework.plans import index, layout_queries
 from clausework.sources.scratch import stored
 
 
@@ -314,6 +314,12 @@ def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.coverage(e, rows).select("source_pdf", "total_raw_lines", (F.col("bucket_a") + F.col("bucket_b") + F.col("bucket_d")).alias("placed"), "unaccounted", "n_tables_attached")
 
 
+def homogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents' blocks by how bold they are."""
+    rows, folded, _ = _document_outline(spark, sf_dir)
+    return quality.homogeneity(outline.row_facts(rows), outline.events_table(folded))
+
+
 def _checklist_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as rows of checklists, one for each of many customers: headings, items and wrapped text by their place."""
     o = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("i"))
@@ -343,12 +349,12 @@ def checklist_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     keyword_ranking, keyword_ranking_whole, token_store, rare_terms, gate, gate_grounding, zero_pass, full_list_check, list_faults, vector_check, cosine_ranking, rrf_fusion, hydrate_mapping, slider_pool,
     default_floor, shown_candidates, segment_carry_forward, stitch_islands, paragraph_split, dedup_suffix, column_gap_threshold, heading_shape, footer_filter, parenthetical, next_kind_lookahead,
-    table_serialise, empty_verdict, uniqueness_check, key_check, chunk_tree, event_kinds, line_coverage, checklist_items, checklist_report,
+    table_serialise, empty_verdict, uniqueness_check, key_check, chunk_tree, event_kinds, line_coverage, homogeneity, checklist_items, checklist_report,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | layout_queries.queries()
 
 
 # --- DuckDB ---------------------------------------------------------------
@@ -534,10 +540,20 @@ SELECT k::VARCHAR AS checklist, (row_number() OVER (PARTITION BY k ORDER BY item
     "checklist_report": f"""WITH {_CHECKLISTS}, c AS (SELECT k, count(*) FILTER (kind = 'heading') AS n_headings, count(*) FILTER (kind = 'item') AS n_items_raw, any_value(threshold)::DOUBLE AS threshold FROM kinds GROUP BY k),
 m AS (SELECT k, count(*) AS n FROM made GROUP BY k), l AS (SELECT k, count(*) AS n FROM leaf WHERE item = 0 GROUP BY k)
 SELECT k::VARCHAR AS checklist, n_headings, n_items_raw, threshold, coalesce(m.n, 0) AS n_items_final, coalesce(l.n, 0) AS n_orphan_body_rows, coalesce(m.n, 0) - n_items_raw AS n_synthesized_paragraph_splits FROM c LEFT JOIN m USING (k) LEFT JOIN l USING (k)""",
+    "ranking_views": f"""WITH {_corpus_sql("SELECT doc_id AS chunk_ord, text FROM documents JOIN embeddings ON doc_id = vec_id")}, {_keyword_sql("SELECT item_id, text FROM benchmark JOIN embeddings ON item_id = vec_id")},
+sem AS (SELECT i.item_id, c.chunk_ord, {_COSINE} AS score, row_number() OVER (PARTITION BY i.item_id ORDER BY round({_COSINE}, 6) DESC, c.chunk_ord) AS rank FROM it i JOIN embeddings a ON a.vec_id = i.item_id CROSS JOIN c JOIN embeddings b ON b.vec_id = c.chunk_ord),
+f AS (SELECT kw.item_id, kw.chunk_ord, 1.0::DOUBLE / ({P.RRF_K} + kw.rank) + 1.0::DOUBLE / ({P.RRF_K} + sem.rank) AS score FROM kw JOIN sem USING (item_id, chunk_ord)),
+v AS (SELECT item_id, 'keyword' AS view, chunk_ord, rank, score, above_floor FROM kw UNION ALL SELECT item_id, 'semantic', chunk_ord, rank, score, NULL FROM sem
+  UNION ALL SELECT item_id, 'both', chunk_ord, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, chunk_ord), score, NULL FROM f)
+SELECT 'B' AS checklist, item_id, view, chunk_ord AS chunk_id, rank::INT AS rank, floor(round(score, 6) * 100 + 1e-7)::BIGINT AS score, above_floor FROM v""",
+    "homogeneity": f"""WITH {_OUTLINE}, b AS (SELECT d, block, bool_and(bold) AS solid, count(*) AS n FROM rows GROUP BY ALL),
+x AS (SELECT r.d, count(*) AS c FROM kinds r WHERE bold AND NOT solid AND EXISTS (SELECT 1 FROM kinds z LEFT JOIN seen s ON s.d = z.d AND s.o = z.o WHERE z.d = r.d AND z.block = r.block AND z.text = r.text AND CASE WHEN z.k = 'candidate' THEN NOT s.ok AND z.other = 'body' ELSE z.k = 'body' END) GROUP BY r.d)
+SELECT d::VARCHAR AS source_pdf, count(*) AS n_blocks_total, count(*) FILTER (solid AND n = 1) AS n_homog_single, count(*) FILTER (solid AND n > 1) AS n_homog_multi, count(*) FILTER (NOT solid) AS n_mixed_blocks, coalesce(any_value(c), 0) AS n_excluded_midblock_bold_rows FROM b LEFT JOIN x USING (d) GROUP BY d""",
+    "weak_pairs": f"{_ALL} SELECT count(*) AS n_term_pass_pairs, round(avg((score < {P.MIN_SCORE})::INT), 6) AS below_min_score FROM sparse WHERE rare >= {P.MIN_HIGH_IDF_TERMS}",
     "uniqueness_check": "SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "key_check": "SELECT doc_id, 'left' AS side FROM documents ANTI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'right' FROM labels ANTI JOIN documents USING (doc_id)",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | layout_queries.oracle_sql()

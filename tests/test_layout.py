@@ -78,7 +78,7 @@ def test_tables_are_stitched_filtered_and_logged(stored):
     assert log == [(1, "before_first_header"), (3, "empty_table"), (4, "diagram_only_page")]
 
 
-def test_blocks_chunks_and_coverage(stored):
+def test_blocks_chunks_and_coverage(layout, stored):
     made = {t: stored.catalog.read(t) for t in ("blocks", "chunks", "events")}
     blocks = {r["block_id"]: r["text"] for r in made["blocks"].collect()}
     assert blocks["QM-1__p002_b001"] == "1 Scope" and not any("Page 2" in t or "table" in t or "stray" in t for t in blocks.values())
@@ -86,7 +86,7 @@ def test_blocks_chunks_and_coverage(stored):
     assert [c["chunk_id"] for c in chunks] == ["QM-1__c001", "QM-1__c002", "F-9__c001"]
     assert chunks[0]["text"] == "1 Scope\nApplies to all.\nWho | What\nA | B\nC | " and chunks[0]["table_ids"] == ["QM-1__t01"]
     assert "Words are" in chunks[1]["text"]
-    cover = quality.coverage(made["events"]).first()
+    cover = quality.coverage(made["events"], ingest.parse(*layout)["rows"]).first()
     assert cover["unaccounted"] == 0 and cover["bucket_a"] + cover["bucket_b"] + cover["bucket_d"] == cover["total_raw_lines"]
     assert cover["n_tables_attached"] == cover["n_tables_total"] == 1
     assert quality.missing_text(made["events"], made["chunks"].withColumn("source_pdf", F.lit("m.pdf"))).isEmpty()
