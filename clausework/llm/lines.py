@@ -109,7 +109,7 @@ def repeated_pieces(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
     Pieces with the same bytes are kept once, at the smallest (doc_id, text key,
     line), and are repeated elsewhere, if they share no line with that place.
-    Digests that stand at one place are dropped before any text moves; the bytes
+    Digests that occur once are dropped before any text moves; the bytes
     of the others are compared by their smallest and largest value for each
     digest, two partial aggregates. Digests whose bytes differ (none is known to
     exist) take the bytes themselves as their key. A piece of very many texts is
@@ -118,8 +118,7 @@ def repeated_pieces(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     ids = ["h1", "h2"]
     place = F.struct("id", "key", "line")
     small = stored(piece_rows(docs, min_lines))
-    seen = small.groupBy(*ids).agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
-    often = cut(seen.where("first < last").select(*ids, "n", "first"))
+    often = cut(small.groupBy(*ids).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
     met = stored(join_counted(small, often, ids, ["id", "key"]).distinct())
     compared = _bodies(docs, met.select("id", "key", "line", "lines", *ids)).groupBy(*ids).agg(F.min("body").alias("low"), F.max("body").alias("high"))
     odd = cut(compared.where("low <> high").select(*ids))
