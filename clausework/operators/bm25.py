@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausework.functions import patterns as P
 from clausework.functions.text import tokens
+from clausework.sources.scratch import stored
 
 
 def corpus(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -36,8 +39,6 @@ def raw_idf(df: Column, n: Column) -> Column:
 
 def idf_for_df(df: int, n: int) -> float:
     """The idf that a term of this document frequency would have; ValueError where it is undefined."""
-    import math
-
     return math.log(n - df + 0.5) - math.log(df + 0.5)
 
 
@@ -59,6 +60,35 @@ def contribution(tf: Column, dl: Column, idf: Column, avgdl: Column) -> Column:
     return idf * (tf * (P.K1 + 1)) / (tf + P.K1 * (1 - P.B + P.B * dl / avgdl))
 
 
+def percentiles(values: DataFrame, column: str, fractions: list[float], width: float = 0.01) -> list[float | None]:
+    """Exact percentiles, interpolated between neighbours, without bringing all values into one task.
+
+    Values are counted by bands; only in the bands that hold a wanted rank
+    distinct values are counted and put in order. Contributions are at most the
+    idf times K1 + 1, so the bands that come back are some thousands at most.
+    """
+    band = F.floor(F.col(column) / width)
+    counts = sorted((r["b"], r["n"]) for r in values.where(F.col(column).isNotNull()).groupBy(band.alias("b")).agg(F.count("*").alias("n")).collect())
+    n = sum(c for _, c in counts)
+    if not n:
+        return [None for _ in fractions]
+    at = [(n - 1) * f for f in fractions]
+    wanted = {r for x in at for r in (math.floor(x), math.ceil(x))}
+    first, before = {}, 0
+    for b, c in counts:
+        if any(before <= r < before + c for r in wanted):
+            first[b] = before
+        before += c
+    inside = values.where(band.isin(*first)).groupBy(band.alias("b"), F.col(column).alias("c")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("b").orderBy("c"))
+    starts = F.element_at(F.create_map(*(F.lit(x) for b, s in first.items() for x in (b, s))), F.col("b"))
+    placed = inside.withColumn("hi", so_far + starts).withColumn("lo", F.col("hi") - F.col("n"))
+    hit = F.exists(F.array(*(F.lit(r) for r in sorted(wanted))), lambda r: (r >= F.col("lo")) & (r < F.col("hi")))
+    rows = placed.where(hit).select("lo", "hi", "c").collect()
+    of = {r: next(x["c"] for x in rows if x["lo"] <= r < x["hi"]) for r in wanted}
+    return [of[math.floor(x)] if x == math.floor(x) else (math.ceil(x) - x) * of[math.floor(x)] + (x - math.floor(x)) * of[math.ceil(x)] for x in at]
+
+
 def rare_terms(vocab: DataFrame, threshold: Column | float = P.HIGH_IDF) -> DataFrame:
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     return vocab.where(F.col("idf") >= limit)
@@ -77,7 +107,9 @@ def derive_gate(tokenized: DataFrame, vocab: DataFrame) -> DataFrame:
     v = vocab.select("term", "idf", "avgdl").crossJoin(F.broadcast(size.select("exact")))
     rare = v.where("idf >= exact")
     single = postings(tokenized).join(rare, "term").select(contribution(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl")).alias("c"))
-    stats = single.agg(F.percentile("c", F.lit(P.MIN_SCORE_PERCENTILE)).alias("p"), F.min("c").alias("low"), F.count("*").alias("n"))
+    single = stored(single)
+    p = percentiles(single, "c", [P.MIN_SCORE_PERCENTILE])[0]
+    stats = single.agg(F.lit(p).cast("double").alias("p"), F.min("c").alias("low"), F.count("*").alias("n"))
     counts = v.agg(F.count_if(F.col("idf") >= F.col("exact")).alias("rare"), F.count("*").alias("all"))
     return size.crossJoin(stats).crossJoin(counts).select(
         F.bround("exact", 6).alias("high_idf_threshold"), F.lit(P.MIN_HIGH_IDF_TERMS).alias("min_high_idf_terms"), F.bround(F.coalesce("p", F.lit(0.0)), 6).alias("min_score"),
@@ -125,7 +157,7 @@ def keyword_scores(items: DataFrame, tokenized: DataFrame, vocab: DataFrame, gat
     is ranked. Items, unlike chunks, are written by hand; their number is checked
     by callers (plans.index.check_items), and their ids fit into one array.
     """
-    sparse = sparse_scores(items, tokenized, vocab, gate, key)
+    sparse = stored(sparse_scores(items, tokenized, vocab, gate, key))  # read twice below
     chunks = tokenized.select("chunk_ord", "chunk_id")
     met = sparse.groupBy("chunk_ord").agg(F.collect_list(key).alias("_met"))
     every = items.agg(F.collect_set(key).alias("_every"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import importlib.util
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,28 +30,66 @@ def check_upload(spark: SparkSession, path: str) -> None:
         raise ValueError("the PDF is too large")
 
 
-def pdf_spans(spark: SparkSession, path: str) -> DataFrame:
-    """Spans of PDFs: text blocks only, lines without spans left out. Needs PyMuPDF on the executors."""
-    if importlib.util.find_spec("fitz") is None:
-        raise ModuleNotFoundError("reading PDFs needs PyMuPDF; layouts can be read as Parquet or JSON without it")
+def _from_pdfs(spark: SparkSession, path: str, table: str, readers: tuple[str, ...], rows_of: Callable[[str, bytes], list[tuple]]) -> DataFrame:
+    """A layout table of the PDFs at path: one call of rows_of(name, content) for each. The readers must be installed on the executors."""
+    missing = [r for r in readers if importlib.util.find_spec(r) is None]
+    if missing:
+        raise ModuleNotFoundError(f"reading PDFs needs {', '.join(missing)}; layouts can be read as Parquet or JSON without it")
+    want = schema(table)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import fitz
-
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                with fitz.open(stream=content, filetype="pdf") as pdf:
-                    rows = [
-                        (name, page.number + 1, b["number"], ln, sn, s["text"], s["font"], s["flags"], float(s["size"]), [float(x) for x in s["bbox"]])
-                        for page in pdf
-                        for b in page.get_text("dict")["blocks"]
-                        if b["type"] == 0
-                        for ln, line in enumerate(b["lines"])
-                        for sn, s in enumerate(line["spans"])
-                    ]
-                yield pd.DataFrame(rows, columns=schema("spans").names)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(extract, schema("spans"))
+                yield pd.DataFrame(rows_of(name, content), columns=want.names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(extract, want)
+
+
+def pdf_spans(spark: SparkSession, path: str) -> DataFrame:
+    """Spans of PDFs: text blocks only, lines without spans left out. Needs PyMuPDF."""
+
+    def rows_of(name: str, content: bytes) -> list[tuple]:
+        import fitz
+
+        with fitz.open(stream=content, filetype="pdf") as pdf:
+            return [
+                (name, page.number + 1, b["number"], ln, sn, s["text"], s["font"], s["flags"], float(s["size"]), [float(x) for x in s["bbox"]])
+                for page in pdf
+                for b in page.get_text("dict")["blocks"]
+                if b["type"] == 0
+                for ln, line in enumerate(b["lines"])
+                for sn, s in enumerate(line["spans"])
+            ]
+
+    return _from_pdfs(spark, path, "spans", ("fitz",), rows_of)
+
+
+def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of PDFs with their heights and numbers of images. Needs pdfplumber and PyMuPDF."""
+
+    def rows_of(name: str, content: bytes) -> list[tuple]:
+        import fitz
+        import pdfplumber
+
+        with fitz.open(stream=content, filetype="pdf") as pdf, pdfplumber.open(io.BytesIO(content)) as plumbed:
+            return [(name, n, float(p.height), len(page.get_images(full=True))) for n, (page, p) in enumerate(zip(pdf, plumbed.pages), 1)]
+
+    return _from_pdfs(spark, path, "pages", ("fitz", "pdfplumber"), rows_of)
+
+
+def pdf_tables(spark: SparkSession, path: str) -> DataFrame:
+    """Tables of PDFs as they stand on their pages, headers among them; what lies around them is left to tables.with_page_facts. Needs pdfplumber."""
+
+    def rows_of(name: str, content: bytes) -> list[tuple]:
+        import pdfplumber
+
+        floats = lambda box: None if box is None else [float(x) for x in box]
+        with pdfplumber.open(io.BytesIO(content)) as pdf:
+            found = [(n, t, t.extract()) for n, page in enumerate(pdf.pages, 1) for t in page.find_tables()]
+        found = [(n, t, rows) for n, t, rows in found if rows]
+        return [(name, k, n, floats(t.bbox), rows, [[floats(c) for c in r.cells] for r in t.rows], len(rows[0]), None, None) for k, (n, t, rows) in enumerate(found)]
+
+    return _from_pdfs(spark, path, "raw_tables", ("pdfplumber",), rows_of)
 
 
 def checklist_lines(spans: DataFrame) -> DataFrame:

@@ -115,3 +115,28 @@ def test_checks(spark):
     bad = [("A", "j", "keyword", 1, 1, True), ("A", "k", "both", 1, 1, False), ("A", "k", "both", 2, 2, None)]
     r = spark.createDataFrame(good + bad, "checklist string, item_id string, view string, chunk_id int, rank int, above_floor boolean")
     assert {x["item_id"] for x in quality.list_faults(r, 2).collect()} == {"j", "k"}
+
+
+def test_cosine_of_odd_vectors(spark):
+    items = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.5, 0.5, 0.5])], "item_id string, embedding array<float>")
+    chunks = spark.createDataFrame([(0, "x", [0.25, 1.0]), (1, "y", None), (2, "z", [1.0, None]), (3, "w", [1.0, 1.0, 0.0]), (4, "v", [])], "chunk_ord long, chunk_id string, embedding array<float>")
+    got = {(r["item_id"], r["chunk_id"]): r["score"] for r in ranking.semantic_scores(items, chunks).collect()}
+    assert len(got) == 15 and {k: v for k, v in got.items() if v is not None} == {("a", "x"): 0.25, ("c", "w"): 1.0}
+    assert ranking.semantic_scores(items, chunks.where("chunk_ord > 9")).count() == ranking.semantic_scores(items.where("item_id = 'q'"), chunks).count() == 0
+
+
+def test_percentiles_in_two_passes(spark):
+    rng = np.random.default_rng(4)
+    for x in (rng.random(1000) * 3, rng.integers(0, 5, 400) / 2, np.array([1.25]), np.array([0.0, 7.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "c double")
+        fractions = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+        assert np.allclose(bm25.percentiles(df, "c", fractions), [np.percentile(x, 100 * f) for f in fractions])
+    assert bm25.percentiles(df.where("c > 9"), "c", [0.5]) == [None]
+
+
+def test_vector_faults_stop_an_index(spark):
+    ok = spark.createDataFrame([(1, [0.6, 0.8]), (2, [1.0, 0.0])], "k int, embedding array<float>")
+    quality.assert_vectors(ok, "k")
+    for bad in (None, [1.0], [float("nan"), 1.0], [None, 1.0]):
+        with pytest.raises(ValueError, match="3"):
+            quality.assert_vectors(ok.union(spark.createDataFrame([(3, bad)], ok.schema)), "k")
