@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 from clausework.llm.common import MAX_LONG, cut, join_counted, read, stored
 
@@ -95,13 +97,43 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _packed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """id and key of docs, the columns `keep` as `row`, and the text's bytes, compressed: texts are most of what is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            at = b.num_columns - 1
+            texts = [None if t is None else pack(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, pa.binary())], [*b.schema.names[:at], "packed"])
+
+    used = docs.select(_id().alias("id"), _key().alias("key"), F.struct(*keep).alias("row"), F.col("text").cast("string").alias("packed"))
+    out = StructType([*used.schema.fields[:-1], StructField("packed", BinaryType())])
+    return used.mapInArrow(run, out)
+
+
+def _lines_of(packed: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(packed).split(b"\n")
+
+
 def _bodies(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """met (id, key, line, lines, ...) with `body`, the piece itself; one text for each id and key."""
-    wanted = met.groupBy("id", "key").agg(F.collect_set(F.struct(*[c for c in met.columns if c not in ("id", "key")])).alias("_met"))
-    texts = docs.select(_id().alias("id"), _key().alias("key"), F.col("text").alias("_text"))
-    split = wanted.join(texts, ["id", "key"]).select("id", "key", F.split("_text", "\n").alias("_lines"), F.explode("_met").alias("m"))
-    body = F.array_join(F.slice("_lines", F.col("m.line") + 1, F.col("m.lines")), "\n")
-    return split.select("id", "key", "m.*", body.alias("body"))
+    """met (id, key, line, lines, h1, h2) with `body`, the piece itself; one text for each id and key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 200):
+                rows: list[tuple] = []
+                b = whole.slice(lo, 200)
+                for doc_id, key, met, packed in zip(*(c.to_pylist() for c in b.columns)):
+                    lines = _lines_of(packed)
+                    rows += [(doc_id, key, m["line"], m["lines"], m["h1"], m["h2"], b"\n".join(lines[m["line"] : m["line"] + m["lines"]])) for m in met]
+                if rows:
+                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["id", "key", "line", "lines", "h1", "h2", "body"])
+
+    wanted = met.groupBy("id", "key").agg(F.collect_set(F.struct("line", "lines", "h1", "h2")).alias("met"))
+    texts = _packed(docs, ["doc_id"]).drop("row")
+    return wanted.join(texts, ["id", "key"]).select("id", "key", "met", "packed").mapInArrow(run, "id long, key long, line int, lines int, h1 long, h2 long, body binary")
 
 
 def repeated_pieces(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -120,11 +152,11 @@ def repeated_pieces(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     small = stored(piece_rows(docs, min_lines))
     often = cut(small.groupBy(*ids).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
     met = stored(join_counted(small, often, ids, ["id", "key"]).distinct())
-    compared = _bodies(docs, met.select("id", "key", "line", "lines", *ids)).groupBy(*ids).agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    compared = _bodies(docs, met).groupBy(*ids).agg(F.min("body").alias("low"), F.max("body").alias("high"))
     odd = cut(compared.where("low <> high").select(*ids))
     if odd.isEmpty():
         return _after_first(met)
-    others = _bodies(docs, met.drop("first").join(odd, ids, "left_semi"))
+    others = _bodies(docs, met.join(odd, ids, "left_semi"))
     firsts = others.groupBy(*ids, "body").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     apart = join_counted(others, firsts, [*ids, "body"], ["id", "key"]).drop("body")
     return _after_first(met.join(odd, ids, "left_anti").unionByName(apart))
@@ -151,24 +183,34 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, stats: bool
     smallest keeper; null if nothing was removed). An empty table gives no rows.
     """
     found = repeated_pieces(docs, min_lines)
-    by_text = found.groupBy("id", "key").agg(F.collect_set(F.struct("line", "lines")).alias("_cuts"), F.min("keeper").alias("_keeper"))
-    by_text = by_text.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "_cuts", "_keeper")
+    by_text = found.groupBy("id", "key").agg(F.collect_set(F.struct("line", "lines")).alias("cuts"), F.min("keeper").alias("keeper"))
     # the row's own columns stay apart from those used here, whatever they are called
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), _id().alias("_id"), _key().alias("_key"))
-    met = keyed.join(by_text, ["_id", "_key"], "left")
-    gone = F.array_distinct(F.flatten(F.transform("_cuts", lambda c: F.sequence(c["line"], c["line"] + c["lines"] - 1))))
-    met = met.withColumns({"_gone": F.when(F.col("_cuts").isNotNull(), gone), "_lines": F.split("row.text", "\n")})
-    # a set of line numbers, so the time grows with the lines and not with lines times cuts
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
-    met = met.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("row.text")))
-    out = {c: F.col(f"row.`{c}`") for c in docs.columns}
-    out["text"] = F.col("_kept")
+    others = [c for c in docs.columns if c != "text"]
+    met = _packed(docs, others).join(by_text, ["id", "key"], "left").select("row", "packed", "cuts", "keeper")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 200):
+                b = whole.slice(lo, 200)
+                rows: list[tuple] = []
+                for packed, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    if packed is None:
+                        rows.append((None, 0, 0))
+                        continue
+                    lines = _lines_of(packed)
+                    gone = {i for c in cuts or () for i in range(c["line"], c["line"] + c["lines"])}
+                    rows.append((b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode(), len(lines), len(gone)))
+                text, n_lines, n_removed = zip(*rows)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(n_lines, pa.int32()), pa.array(n_removed, pa.int32()), b.column(3)], ["row", "text", "n_lines", "n_removed", "keeper"])
+
+    kinds = {"row": met.schema["row"].dataType, "text": StringType(), "n_lines": IntegerType(), "n_removed": IntegerType(), "keeper": met.schema["keeper"].dataType}
+    done = met.mapInArrow(run, StructType([StructField(n, t) for n, t in kinds.items()]))
+    out = {c: F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns}
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("_gone").isNotNull(), F.length("_kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
     if stats:
-        out |= {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)), "first_doc_id": F.when(F.col("_keeper") < MAX_LONG, F.col("_keeper"))}
-    return met.select(*(c.alias(n) for n, c in out.items()))
+        out |= {"n_lines": F.col("n_lines"), "n_removed": F.col("n_removed"), "first_doc_id": F.when(F.col("keeper") < MAX_LONG, F.col("keeper"))}
+    return done.select(*(c.alias(n) for n, c in out.items()))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
