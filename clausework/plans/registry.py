@@ -231,11 +231,13 @@ def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_kind_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def ahead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line")
-        return pdf.assign(zero_body=outline.zero_body(list(pdf["kind"])))
+    @F.pandas_udf("array<boolean>")
+    def ahead(column: pd.Series) -> pd.Series:
+        return column.map(lambda kinds: outline.zero_body(list(kinds)))
 
-    return _kinds(spark, sf_dir).groupBy("doc_id").applyInPandas(ahead, "doc_id long, line int, kind string, zero_body boolean")
+    of = _kinds(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line", "kind"))).alias("ks"))
+    each = of.withColumn("z", ahead(F.transform("ks", lambda k: k["kind"]))).select("doc_id", F.explode(F.arrays_zip("ks", "z")).alias("x"))
+    return each.select("doc_id", "x.ks.line", "x.ks.kind", F.col("x.z").alias("zero_body"))
 
 
 def _nation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
