@@ -108,15 +108,16 @@ def chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return used.mapInArrow(run, "doc_id long, doc long, start int, length int, words int, h1 long, h2 long")
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
-    """doc_id, start, length (bytes of UTF-8), words, first_doc_id, doc_key: spans that stand at an earlier place too.
-
-    A chunk is a duplicate if the same bytes (128-bit digest) are a chunk at an
-    earlier place; places are in the order of doc_id, a hash of id and text, and
-    start, so the first place keeps it, and all later ones, in other texts or in
-    its own, are reported. Adjacent duplicate chunks are one span; its
-    first_doc_id is the smallest keeper of its chunks (its own doc_id, if it
-    stands in its own text only); spans under `min_words` words are left out.
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REACH, within: bool = False) -> DataFrame:
+    """doc_id, start, length (bytes of UTF-8), words, first_doc_id, doc_key: spans that an earlier document has too.
+
+    A chunk is a duplicate if the same bytes (128-bit digest) are a chunk of an
+    earlier document; documents are in the order of doc_id and a hash of id and
+    text, so the first one keeps it, and all later ones are reported. within: of
+    a chunk that stands more than once in a text, all places but the first are
+    duplicates as well. Adjacent duplicate chunks are one span; its first_doc_id
+    is the smallest keeper of its chunks (its own doc_id, if it stands in its own
+    text only); spans under `min_words` words are left out.
     Null and empty texts have no spans. Rows equal in doc_id and text are one
     document; texts that share a doc_id, or have none, are documents of their
     own. Null ids come after all others and are null in the result. doc_key is
@@ -131,10 +132,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REA
     rows = stored(chunks(docs, reach))
     often = rows.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1")
     some = stored(join_counted(rows, cut(often), ["h1"], ["doc"]).distinct())  # equal rows are one
-    place = F.struct("doc_id", "doc", "start")
-    firsts = some.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    place = F.struct("doc_id", "doc", "start") if within else F.struct("doc_id", "doc")
+    firsts = some.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
     met = join_counted(some, cut(firsts), ["h1", "h2"], ["doc", "start"])
-    dup = met.where(F.struct("doc_id", "doc", "start") != F.col("first")).withColumn("keeper", F.col("first.doc_id"))
+    dup = met.where(place != F.col("first")).withColumn("keeper", F.col("first.doc_id"))
     order = Window.partitionBy("doc_id", "doc").orderBy("start")
     new = F.coalesce(F.lag(F.col("start") + F.col("length")).over(order) != F.col("start"), F.lit(True))
     spans = dup.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(order))
