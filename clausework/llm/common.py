@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausework.sources.scratch import shared_dir, stored
+
+__all__ = ["MAX_LONG", "PARTS", "crc_of_id", "cut", "held_out", "join_counted", "read", "removed", "shared_dir", "stored"]
+
 MAX_LONG = (1 << 63) - 1
 
 
@@ -15,22 +16,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in spark.checkpoint.dir. Only where that is unset and the
-    master is this machine (tests) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clausework-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder, so that a lost executor loses nothing."""
     shared_dir(df.sparkSession)
@@ -43,13 +28,6 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder and read from there: smaller than cut(), and pruned by column."""
-    out = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(out)
-    return df.sparkSession.read.parquet(out)
-
-
 #: A key with more than one of so many rows is dealt over several tasks.
 PARTS = 4096
 

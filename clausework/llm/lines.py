@@ -107,7 +107,7 @@ def _packed(docs: DataFrame, keep: list[str]) -> DataFrame:
             texts = [None if t is None else pack(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, pa.binary())], [*b.schema.names[:at], "packed"])
 
-    used = docs.select(_id().alias("id"), _key().alias("key"), F.struct(*keep).alias("row"), F.col("text").cast("string").alias("packed"))
+    used = docs.select(_id().alias("id"), _key().alias("key"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col("text").cast("string").alias("packed"))
     out = StructType([*used.schema.fields[:-1], StructField("packed", BinaryType())])
     return used.mapInArrow(run, out)
 

@@ -160,7 +160,7 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Rows of a group that share this doc_id are told apart by a hash of all their
     columns; of rows equal in every column one stays. Null ids come last.
     """
-    names = docs.columns
+    names = [f"`{c}`" for c in docs.columns]
     # the row's own columns stay apart from those used here, whatever they are called
     keyed = docs.select(F.struct(*names).alias("row"), F.xxhash64(*names).alias("_k1"), F.xxhash64(F.lit(1), *reversed(names)).alias("_k2"))
     rows = cut(fingerprints(keyed.select(F.col("row.doc_id").alias("_id"), "_k1", "_k2", F.col("row.text").alias("text")), ["_id", "_k1", "_k2"]))

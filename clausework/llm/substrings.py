@@ -163,7 +163,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == t else b.column(i) for i in range(len(names))], names)
 
     cuts = spans.groupBy("doc_key").agg(F.collect_set(F.struct("start", "length")).alias("_cuts"))
-    met = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("doc_key")).join(cuts, "doc_key", "left")
+    met = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("doc_id", "text").alias("doc_key")).join(cuts, "doc_key", "left")
     return met.select("row.*", F.col("_cuts").alias(" cuts")).mapInArrow(run, docs.schema)
 
 

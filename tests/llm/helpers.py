@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for columns of their own.
-CLASHING = ("fp", "grp", "_id", "_key", "_k1", "_k2", "_text", "_cuts", "row", "score", "rank", "length", "start", "key", "h1", "words", "predicted", "doc_key", "line")
+CLASHING = ("fp", "grp", "_id", "_key", "_k1", "_k2", "_text", "_cuts", "row", "score", "rank", "length", "start", "key", "h1", "words", "predicted", "doc_key", "line", "packed", "cuts", "keeper", "id")
 
 
 def documents(spark, texts, ids=None, langs=None):
