@@ -53,12 +53,25 @@ def _highest(x: np.ndarray, reach: int) -> np.ndarray:
     return top
 
 
+def _apart(ends: np.ndarray, reach: int) -> np.ndarray:
+    """ends without those within reach of the one kept before."""
+    keep, last = np.ones(len(ends), bool), 0
+    for k in np.flatnonzero(np.diff(ends) <= reach).tolist():
+        if keep[k]:
+            last = ends[k]
+        keep[k + 1] = ends[k + 1] - last > reach
+    return ends[keep]
+
+
 def boundaries(data: bytes, reach: int = REACH) -> np.ndarray:
-    """Ends of chunks: after strict local maxima of the gear hash, and at the end.
+    """Ends of chunks: after local maxima of the gear hash, and at the end.
 
     Whether a byte is a boundary depends on 32 bytes before it and `reach` on
-    either side only, so an insertion moves no boundary further away. Chunks have
-    more than `reach` bytes, but for the first and the last.
+    either side only, so an insertion moves no boundary further away. Equal maxima
+    within `reach` stand in a passage that goes on repeating a few bytes (a run of
+    one word): there the first of them counts, and then each next one beyond reach,
+    so that such a passage has chunks as short as any other, alike wherever it
+    begins. Chunks have more than `reach` bytes, but for the first and the last.
     """
     n, ends = len(data), []
     for at in range(0, n, PART):
@@ -67,13 +80,9 @@ def boundaries(data: bytes, reach: int = REACH) -> np.ndarray:
         h = h.astype(np.uint64) << np.uint64(1) | np.uint64(1)  # none is 0, which stands for the outside
         peak = np.flatnonzero(h == _highest(h, reach)) + lo
         ends.append(peak[(peak >= at) & (peak < at + PART)] + 1)
-    found = np.concatenate([*ends, [n]]).astype(np.int64) if n else np.zeros(0, np.int64)
-    if len(found) > 1:  # equal hashes within reach: the first of them counts
-        keep = np.concatenate([[True], np.diff(found) > reach])
-        keep[-1] = True
-        found = found[keep]
-        if len(found) > 1 and found[-2] == n:
-            found = found[:-1]
+    found = _apart(np.concatenate(ends), reach) if n else np.zeros(0, np.int64)
+    if n and (not len(found) or found[-1] != n):
+        found = np.append(found, n)
     return found
 
 
@@ -131,7 +140,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REA
     """
     rows = stored(chunks(docs, reach))
     often = rows.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1")
-    some = stored(join_counted(rows, cut(often), ["h1"], ["doc"]).distinct())  # equal rows are one
+    some = stored(join_counted(rows, cut(often), ["h1"], ["doc", "start"]).distinct())  # equal rows are one
     place = F.struct("doc_id", "doc", "start") if within else F.struct("doc_id", "doc")
     firsts = some.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
     met = join_counted(some, cut(firsts), ["h1", "h2"], ["doc", "start"])

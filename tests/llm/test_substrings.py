@@ -117,3 +117,21 @@ def test_repeats_within_one_text(spark):
     got = substrings.repeated_spans(docs, min_words=0, within=True).collect()
     assert sorted((r["doc_id"], r["start"], r["length"]) for r in got) == chunks_by_hand(texts, within=True)
     assert len(got) == 1 and got[0]["first_doc_id"] == 3 and got[0]["words"] >= 60
+
+
+def test_runs_of_one_word_have_chunks_and_are_found(spark):
+    rng = random.Random(13)
+    texts = []
+    for i, (word, n) in enumerate([("and", 99), ("and", 60), ("a", 400), ("a", 70), ("over again", 300), ("over again", 45), ("lone", 80)]):
+        run = " ".join([word] * n)
+        data = f"{prose(rng, 30)} {run} {prose(rng, 30)}"
+        texts.append((i, data))
+        ends = substrings.boundaries(data.encode())
+        assert np.diff(ends).max() <= 200 and np.diff(ends[:-1]).min() > substrings.REACH
+    got = substrings.repeated_spans(documents(spark, [t for _, t in texts], [i for i, _ in texts])).collect()
+    assert sorted((r["doc_id"], r["first_doc_id"]) for r in got) == [(1, 0), (3, 2), (5, 4)]
+    for r in got:
+        data = texts[r["doc_id"]][1].encode()[r["start"] : r["start"] + r["length"]]
+        assert data in texts[r["first_doc_id"]][1].encode() and r["words"] >= substrings.MIN_WORDS
+    whole = b"and " * 100_000
+    assert np.diff(substrings.boundaries(whole)).max() <= 64
