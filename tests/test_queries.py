@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pytest
+from pyspark.sql import functions as F
 
+from clausework.operators import ranking
 from clausework.plans import registry
 from tests.conftest import DATA, assert_like_sql
 
@@ -47,3 +51,14 @@ def test_checks_have_something_to_find(spark):
 def test_nothing_stays_cached(spark):
     registry.queries()["keyword_ranking"](spark, f"{DATA}/{SF}").count()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_copies_tie_at_every_digit(spark, tmp_path, monkeypatch):
+    """hydrate_mapping ranks a copy behind its original, without rounding that hides the last digits."""
+    docs = spark.read.parquet(f"{DATA}/{SF}/documents.parquet")
+    docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10_000)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(ranking, "ranked_in_parts", partial(ranking.ranked_in_parts, digits=17))
+    rank = {(r["item_id"], r["chunk_id"]): r["rank"] for r in registry.queries()["hydrate_mapping"](spark, str(tmp_path)).collect()}
+    assert len(rank) == 2 * docs.count() * spark.read.parquet(f"{tmp_path}/benchmark.parquet").count()
+    assert all(rank[i, k] < rank[i, k + 10_000] for i, k in rank if k < 10_000)
